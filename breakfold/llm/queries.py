@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, exact, html, packing, quality, sharding
+from . import ann, bpe, chat, exact, html, neardup, packing, quality, sharding
 from .common import table
 
 #: Tools that conversations may call; conversations without calls are formatted all the same.
@@ -43,6 +43,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chat(table(spark, sf_dir, "conversations"), SCHEMAS)
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit_sample(docs, table(spark, sf_dir, "labels"), "quality", held_out=quality.quarter_held_out)
@@ -62,6 +66,7 @@ def queries() -> dict:
         "op5_shards": op5_shards,
         "op6_html_text": op6_html_text,
         "op7_chat_format": op7_chat_format,
+        "op8_near_duplicates": op8_near_duplicates,
         "op9_quality": op9_quality,
         "op10_packing": op10_packing,
     }
