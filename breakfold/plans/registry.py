@@ -1,11 +1,463 @@
-"""Queries by name, with their SQL."""
+"""Queries by name over calls derived from the order table, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from breakfold.functions import overlap as ov
+from breakfold.functions import parsing, tags
+from breakfold.operators import annotate, cluster, export, merge, store
+from breakfold.operators.bandjoin import band_join
+from breakfold.sources import vcf
+
+from .synthetic import CALLS_CTE, LINES_CTE, SOURCES, calls, lines, merge_calls
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query; its SQL sees the views ``calls`` and ``lines``."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            needs_lines = " lines" in sql
+            SQL[name] = f"WITH {LINES_CTE.replace('calls AS', 'lines AS') if needs_lines else CALLS_CTE}{'' if sql.lstrip().startswith(',') else ' '}{sql}"
+        return f
+
+    return add
+
+
+def _q(spark, d) -> DataFrame:
+    return calls(spark, d).select(F.col("idx").alias("qid"), "chrA", "chrB", "posA", "posB", F.col("var").alias("event_type"))
+
+
+def _store(spark, d) -> DataFrame:
+    """Carriers only, as a store holds them."""
+    return calls(spark, d).where(~F.col("gt").isin(*store.NOT_CARRIED)).select("var", "chrA", "chrB", "posA", "posB", "sample", "idx")
+
+
+STORE = "store AS (SELECT * FROM calls WHERE gt NOT IN ('0/0', './.'))"
+RATIO = "CAST(least(q.posB, d.posB) - greatest(q.posA, d.posA) + 1 AS DOUBLE) / (greatest(q.posB, d.posB) - least(q.posA, d.posA) + 1)"
+DIST = "greatest(abs(q.posA - d.posA), abs(q.posB - d.posB))"
+PAIR = "q.chrA = d.chrA AND q.chrB = d.chrB"
+
+# Parsing
+
+
+@query(
+    "parse_calls",
+    """, m AS (SELECT *, CASE WHEN var = 'BND' AND k % 3 = 2 THEN 1 ELSE 0 END AS tra FROM lines)
+    SELECT k, chrA, chrB, CASE WHEN tra = 1 THEN pa WHEN s1 = s2 THEN least(pa, pb) ELSE posA END AS posA,
+           CASE WHEN tra = 1 AND s1 > s2 THEN pa WHEN tra = 1 THEN pb WHEN s1 = s2 THEN greatest(pa, pb) ELSE posB END AS posB, var AS event_type, false AS bad FROM m""",
+)
+def parse_calls(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.parse_calls(lines(spark, d)).select("k", "chrA", "chrB", "posA", "posB", "event_type", "bad")
+
+
+@query(
+    "parse_info_map",
+    """, e AS (SELECT k, unnest(string_split(string_split(line, chr(9))[8], ';')) AS e FROM lines)
+    SELECT k, split_part(e, '=', 1) AS key, substr(e, instr(e, '=') + 1) AS value FROM e WHERE contains(e, '=')""",
+)
+def parse_info_map(spark, d):
+    return parsing.split_columns(lines(spark, d)).select("k", F.explode(parsing.info_map(F.col("info"))).alias("key", "value"))
+
+
+@query(
+    "parse_ci",
+    """SELECT k, CASE WHEN c % 2 = 0 THEN c % 50 ELSE 0 END AS "ci_A_lower", CASE WHEN c % 2 = 0 THEN c % 70 ELSE 0 END AS "ci_A_upper",
+    CASE WHEN c % 3 = 0 THEN c % 30 WHEN c % 2 = 0 THEN c % 50 ELSE 0 END AS "ci_B_lower", CASE WHEN c % 3 = 0 THEN c % 30 WHEN c % 2 = 0 THEN c % 70 ELSE 0 END AS "ci_B_upper" FROM lines""",
+)
+def parse_ci(spark, d):
+    return parsing.split_columns(lines(spark, d)).select("k", *parsing.ci_columns(F.col("info")))
+
+
+@query("parse_format_map", "SELECT k, gt, CASE WHEN k % 2 = 0 THEN CAST(c % 5 AS STRING) END AS cn, CASE WHEN k % 2 = 0 THEN '.' ELSE CAST(c % 5 AS STRING) END AS dp FROM lines")
+def parse_format_map(spark, d):
+    m = parsing.format_map(F.col("fmt"), F.col("samples"))
+    df = parsing.split_columns(lines(spark, d)).withColumn("m", m)
+    return df.select("k", *[F.get(F.try_element_at("m", F.lit(n.upper())), F.lit(0)).alias(n) for n in ("gt", "cn", "dp")])
+
+
+@query("normalize_chrom", "SELECT k, s1 AS chrom FROM lines")
+def normalize_chrom(spark, d):
+    return parsing.split_columns(lines(spark, d)).select("k", parsing.normalize_chrom(F.col("raw_chrom")).alias("chrom"))
+
+
+@query("class_predicates", "SELECT k, chrA <> chrB AS inter, var = 'INS' AS ins, var = 'BND' AS precise FROM calls")
+def class_predicates(spark, d):
+    return calls(spark, d).select("k", parsing.is_interchromosomal(F.col("chrA"), F.col("chrB")).alias("inter"), parsing.is_insertion(F.col("var")).alias("ins"), parsing.is_precise(F.col("var")).alias("precise"))
+
+
+@query(
+    "tag_functions",
+    """SELECT k, CAST(k AS STRING) || '_x_' || CAST(c AS STRING) AS clean, CAST(k AS STRING) || '_x_' || CAST(c AS STRING) || '|' || filter AS tag,
+    var AS svtype, CAST(k AS STRING) || '_x_' || CAST(c AS STRING) || '|P|GT:' || gt || '|' ||
+    CASE WHEN k % 2 = 0 THEN 'CN:' || CAST(c % 5 AS STRING) || '|DP:.' ELSE 'DP:' || CAST(c % 5 AS STRING) END AS sample_text FROM lines""",
+)
+def tag_functions(spark, d):
+    df = parsing.split_columns(lines(spark, d))
+    return df.select(
+        "k", tags.sanitize_id(F.col("vid")).alias("clean"), tags.format_tag(F.col("vid"), F.col("filter")).alias("tag"), parsing.retrieve_key(F.col("line"), "SVTYPE").alias("svtype"),
+        tags.collect_sample(F.col("vid"), F.col("fmt"), F.col("samples"), F.array(F.lit("P"))).alias("sample_text"),
+    )
+
+
+@query(
+    "collect_info",
+    """, e AS (SELECT k, c, list_filter(string_split(string_split(line, chr(9))[8], ';'), lambda x: NOT contains(x, ':') AND NOT contains(x, '|')) AS e FROM lines)
+    SELECT k, CAST(k AS STRING) || '_x_' || CAST(c AS STRING) || '|' || replace(replace(array_to_string(e, '|'), '=', ':'), ',', ':') AS info_text FROM e""",
+)
+def collect_info(spark, d):
+    return parsing.split_columns(lines(spark, d)).select("k", tags.collect_info(F.col("vid"), F.col("info")).alias("info_text"))
+
+
+@query(
+    "read_bedpe",
+    """SELECT k AS db_ord, CASE WHEN (s1 = s2 AND pa < pb) OR s1 < s2 THEN s1 ELSE s2 END AS "chrA", CASE WHEN (s1 = s2 AND pa < pb) OR s1 < s2 THEN pa ELSE pb END AS "posA",
+    CASE WHEN (s1 = s2 AND pa < pb) OR s1 < s2 THEN s2 ELSE s1 END AS "chrB", CASE WHEN (s1 = s2 AND pa < pb) OR s1 < s2 THEN pb ELSE pa END AS "posB", var AS event_type, c % 9 AS occ, CAST(c % 9 AS DOUBLE) / 8 AS frq FROM calls""",
+)
+def read_bedpe(spark, d):
+    return vcf.parse_bedpe(_bedpe_lines(spark, d))
+
+
+def _bedpe_lines(spark, d):
+    return calls(spark, d).select(F.col("k").alias("db_ord"), F.concat_ws(" \t ", "s1", F.col("pa").cast("string"), "s2", F.col("pb").cast("string"), "var", (F.col("c") % 9).cast("string"), ((F.col("c") % 9) / 8).cast("string")).alias("line"))
+
+
+# Store
+
+
+@query("pass_filter", "SELECT idx, filter FROM calls WHERE filter IN ('PASS', '.')")
+def pass_filter(spark, d):
+    return store.pass_filter(calls(spark, d)).select("idx", "filter")
+
+
+@query(
+    "carrier_explode",
+    """SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS BIGINT) AS idx, var, sample, "ci_A_lower" AS lo FROM (SELECT *, CASE WHEN c % 2 = 0 THEN c % 50 ELSE 0 END AS "ci_A_lower" FROM lines) WHERE gt NOT IN ('0/0', './.')""",
+)
+def carrier_explode(spark, d):
+    df = parsing.parse_calls(lines(spark, d).join(calls(spark, d).select("k", "sample"), "k"))
+    df = df.withColumns({"source_ord": F.lit(0), "line_no": F.col("k"), "sample_names": F.array("sample"), "source_sample": F.lit("file")})
+    return store.numbered(store.carriers(df)).select("idx", "var", "sample", F.col("ci_A_lower").alias("lo"))
+
+
+@query("sample_antijoin", f", {STORE} SELECT idx, sample FROM calls WHERE sample NOT IN (SELECT sample FROM store)")
+def sample_antijoin(spark, d):
+    return store.new_samples(calls(spark, d), _store(spark, d)).select("idx", "sample")
+
+
+@query("distinct_lists", f", {STORE} SELECT DISTINCT 'chrA' AS what, chrA AS value FROM store UNION ALL SELECT DISTINCT 'chrB', chrB FROM store UNION ALL SELECT DISTINCT 'var', var FROM store UNION ALL SELECT DISTINCT 'sample', sample FROM store")
+def distinct_lists(spark, d):
+    s = _store(spark, d)
+    parts = [store.distinct_values(s, c).select(F.lit(c).alias("what"), F.col(c).alias("value")) for c in ("chrA", "chrB", "var", "sample")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("max_idx", f", {STORE} SELECT max(idx) AS max_idx FROM store")
+def max_idx(spark, d):
+    return store.max_idx(_store(spark, d))
+
+
+@query("db_size", f", {STORE} SELECT count(DISTINCT sample) AS n FROM store")
+def db_size(spark, d):
+    return store.db_size(_store(spark, d))
+
+
+@query("partition_fetch", f", {STORE} SELECT idx, posA, posB FROM store WHERE var = 'DEL' AND chrA = '1' AND chrB = '1'")
+def partition_fetch(spark, d):
+    return store.partition_rows(_store(spark, d), "DEL", "1", "1").select("idx", "posA", "posB")
+
+
+@query("fetch_by_index", f", {STORE} SELECT idx, var, posA, posB FROM store WHERE idx IN (SELECT k FROM calls WHERE var = 'INV')")
+def fetch_by_index(spark, d):
+    return store.by_index(_store(spark, d), calls(spark, d).where("var = 'INV'").select("idx")).select("idx", "var", "posA", "posB")
+
+
+# Predicates and candidates
+
+
+def _pairs(spark, d, distance):
+    right = calls(spark, d).select("chrA", "chrB", "var", F.col("posA").alias("dA"), F.col("posB").alias("dB"), F.col("idx").alias("other"))
+    left = calls(spark, d).select("chrA", "chrB", "var", "posA", "posB", "idx")
+    q = [F.col(c) for c in ("posA", "posB", "dA", "dB")]
+    return band_join(left, right, ["chrA", "chrB", "var"], "posA", "dA", distance, "inner", ov.within_box(*q, distance) & (F.col("idx") < F.col("other"))), q
+
+
+BOX = f"calls q JOIN calls d ON {PAIR} AND q.var = d.var AND abs(q.posA - d.posA) <= 10000 AND abs(q.posB - d.posB) <= 10000 AND q.idx < d.idx"
+
+
+@query("box_candidates", f"SELECT q.idx, d.idx AS other FROM {BOX}")
+def box_candidates(spark, d):
+    return _pairs(spark, d, 10_000)[0].select("idx", "other")
+
+
+@query("overlap_ratio", f"SELECT q.idx, d.idx AS other, round({RATIO}, 9) AS ratio FROM {BOX} WHERE q.chrA = q.chrB")
+def overlap_ratio(spark, d):
+    df, q = _pairs(spark, d, 10_000)
+    return df.where("chrA = chrB").select("idx", "other", F.round(ov.overlap_ratio(*q), 9).alias("ratio"))
+
+
+@query("breakpoint_distance", f"SELECT q.idx, d.idx AS other, {DIST} AS distance FROM {BOX} WHERE q.chrA <> q.chrB")
+def breakpoint_distance(spark, d):
+    df, q = _pairs(spark, d, 10_000)
+    return df.where("chrA <> chrB").select("idx", "other", ov.breakpoint_distance(*q).alias("distance"))
+
+
+# Annotation
+
+TABLE_SQL = f""", {STORE}, n AS (SELECT count(DISTINCT sample) AS n FROM store),
+h AS (SELECT q.idx, count(DISTINCT d.sample) AS occ FROM calls q JOIN store d ON {PAIR} AND q.var = d.var AND abs(q.posA - d.posA) <= 10000 AND abs(q.posB - d.posB) <= 10000
+      WHERE q.chrA <> q.chrB OR ({RATIO} >= 0.6) GROUP BY 1),
+r AS (SELECT c.idx AS qid, coalesce(h.occ, 0) AS occ, coalesce(h.occ, 0) / n.n AS frq FROM calls c LEFT JOIN h USING (idx), n)
+SELECT qid, occ, frq FROM r"""
+
+
+def _table(spark, d, max_frq=1.0):
+    return annotate.annotate_table(_q(spark, d), _store(spark, d), max_frq=max_frq)
+
+
+@query("annotate_table", TABLE_SQL)
+def annotate_table(spark, d):
+    return _table(spark, d).select("qid", "occ", "frq")
+
+
+@query("annotate_table_max_frq", TABLE_SQL + " WHERE frq <= 0.05")
+def annotate_table_max_frq(spark, d):
+    return _table(spark, d, 0.05).select("qid", "occ", "frq")
+
+
+def _gt_sql(types: str) -> str:
+    return f""", h AS (SELECT DISTINCT q.idx, d.gt FROM calls q JOIN calls d ON {PAIR} {types} AND abs(q.posA - d.posA) <= 10000 AND abs(q.posB - d.posB) <= 10000
+    WHERE CASE WHEN q.chrA <> q.chrB THEN true WHEN q.var = 'INS' THEN {DIST} <= 50 ELSE {RATIO} >= 0.6 END),
+    o AS (SELECT idx, max(CASE WHEN gt <> '0/0' THEN 1 ELSE 0 END) + 1 AS occ FROM h GROUP BY 1)
+    SELECT c.idx AS qid, coalesce(o.occ, 0) AS occ, coalesce(o.occ, 0) / 3 AS frq FROM calls c LEFT JOIN o USING (idx)"""
+
+
+def _gts(spark, d):
+    """Each call with three sample columns: its own genotype, a carrier and a phased reference."""
+    return calls(spark, d).select("chrA", "chrB", F.col("var").alias("event_type"), "posA", "posB", F.array(F.col("gt"), F.lit("0/1"), F.lit("0|0")).alias("gts"))
+
+
+@query("annotate_genotypes", _gt_sql("AND q.var = d.var"))
+def annotate_genotypes(spark, d):
+    return annotate.annotate_genotypes(_q(spark, d), _gts(spark, d), 3).select("qid", "occ", "frq")
+
+
+@query("annotate_genotypes_no_var", _gt_sql(""))
+def annotate_genotypes_no_var(spark, d):
+    return annotate.annotate_genotypes(_q(spark, d), _gts(spark, d), 3, no_var=True).select("qid", "occ", "frq")
+
+
+BEST_SQL = f""", db AS (SELECT *, min(k) OVER (PARTITION BY chrA, chrB, var) AS t FROM calls),
+p AS (SELECT q.idx, d.c, row_number() OVER (PARTITION BY q.idx ORDER BY CASE WHEN q.chrA <> q.chrB OR q.var = 'INS' THEN -CAST({DIST} AS DOUBLE) ELSE {RATIO} END DESC, d.t, d.k) AS n
+      FROM calls q JOIN db d ON {PAIR} AND q.var = d.var AND abs(q.posA - d.posA) <= 10000 AND abs(q.posB - d.posB) <= 10000 AND q.k <> d.k
+      WHERE CASE WHEN q.chrA <> q.chrB THEN true WHEN q.var = 'INS' THEN {DIST} <= 50 ELSE {RATIO} >= 0.6 END)
+SELECT c.idx AS qid, p.c % 9 AS occ, CAST(p.c % 9 AS DOUBLE) / 8 AS frq FROM calls c LEFT JOIN p ON p.idx = c.idx AND p.n = 1"""
+
+
+@query("annotate_tags_best", BEST_SQL.replace(" AND q.k <> d.k", ""))
+def annotate_tags_best(spark, d):
+    df = calls(spark, d)
+    s = lambda c: c.cast("string")
+    db = df.select("chrA", "chrB", "posA", "posB", F.col("var").alias("event_type"), F.col("k").alias("db_ord"), F.concat(F.lit("AC="), s(F.col("c") % 9), F.lit(";AF="), s((F.col("c") % 9) / 8)).alias("info"))
+    out = annotate.annotate_best(_q(spark, d), annotate.tag_database(db, "AC", "AF"))
+    return out.select("qid", "occ", F.col("frq").cast("double").alias("frq"))
+
+
+@query(
+    "annotate_bedpe",
+    BEST_SQL.replace(" AND q.k <> d.k", "")
+    .replace("db AS (SELECT *,", "bed AS (SELECT k, c, var, CASE WHEN (s1 = s2 AND pa < pb) OR s1 < s2 THEN s1 ELSE s2 END AS \"chrA\", CASE WHEN (s1 = s2 AND pa < pb) OR s1 < s2 THEN pa ELSE pb END AS \"posA\", CASE WHEN (s1 = s2 AND pa < pb) OR s1 < s2 THEN s2 ELSE s1 END AS \"chrB\", CASE WHEN (s1 = s2 AND pa < pb) OR s1 < s2 THEN pb ELSE pa END AS \"posB\" FROM calls), db AS (SELECT *,")
+    .replace("FROM calls),\np AS", "FROM bed),\np AS"),
+)
+def annotate_bedpe(spark, d):
+    return annotate.annotate_best(_q(spark, d), vcf.parse_bedpe(_bedpe_lines(spark, d))).select("qid", "occ", "frq")
+
+
+@query(
+    "annotate_chain",
+    f""", {STORE}, h AS (SELECT q.idx, count(DISTINCT d.sample) AS occ FROM calls q JOIN store d ON {PAIR} AND q.var = d.var AND abs(q.posA - d.posA) <= 10000 AND abs(q.posB - d.posB) <= 10000
+      WHERE q.chrA <> q.chrB OR ({RATIO} >= 0.6) GROUP BY 1),
+    g AS (SELECT q.idx, count(DISTINCT d.sample) AS occ FROM calls q JOIN store d ON {PAIR} AND q.var = d.var AND abs(q.posA - d.posA) <= 500 AND abs(q.posB - d.posB) <= 500
+      WHERE q.chrA <> q.chrB OR ({RATIO} >= 0.9) GROUP BY 1)
+    SELECT c.idx AS qid, 'X' || CASE WHEN h.occ > 0 THEN ';OCC=' || CAST(h.occ AS STRING) ELSE '' END || CASE WHEN g.occ > 0 THEN ';NEAR=' || CAST(g.occ AS STRING) ELSE '' END AS info
+    FROM calls c LEFT JOIN h USING (idx) LEFT JOIN g USING (idx)""",
+)
+def annotate_chain(spark, d):
+    s = _store(spark, d)
+
+    def step(tag, overlap, distance):
+        def run(df):
+            out = annotate.annotate_table(df, s, overlap, distance)
+            return out.withColumn("info", F.when(F.col("occ") > 0, F.concat("info", F.lit(f";{tag}="), F.col("occ").cast("string"))).otherwise(F.col("info"))).drop("occ", "frq")
+
+        return run
+
+    return annotate.chain(_q(spark, d).withColumn("info", F.lit("X")), [step("OCC", 0.6, 10_000), step("NEAR", 0.9, 500)]).select("qid", "info")
+
+
+# Clustering and export
+
+#: By definition: a row's label is the run of the last core among the rows m - 1 before it and itself.
+def _run_sql(m: int, eps: int) -> str:
+    return f""", {STORE}, o AS (SELECT *, row_number() OVER (PARTITION BY var, chrA, chrB ORDER BY posA, posB, idx) AS i FROM store),
+    x AS (SELECT a.*, coalesce(b.posA - a.posA < {eps}, false) AS core FROM o a LEFT JOIN o b ON a.var = b.var AND a.chrA = b.chrA AND a.chrB = b.chrB AND b.i = a.i + {m - 1}),
+    y AS (SELECT x.*, CASE WHEN core THEN sum(CASE WHEN core AND NOT coalesce(p, false) THEN 1 ELSE 0 END) OVER (PARTITION BY var, chrA, chrB ORDER BY i) END AS run FROM (SELECT *, lag(core) OVER (PARTITION BY var, chrA, chrB ORDER BY i) AS p FROM x) x),
+    z AS (SELECT a.idx, arg_max(b.run, b.i) AS x_label FROM y a LEFT JOIN y b ON a.var = b.var AND a.chrA = b.chrA AND a.chrB = b.chrB AND b.i BETWEEN a.i - {m - 1} AND a.i AND b.core GROUP BY 1)
+    SELECT idx, CAST(x_label AS BIGINT) AS x_label FROM z"""
+
+
+def _runs(spark, d, m, eps):
+    return cluster.run_labels(_store(spark, d), cluster.PART, ["posA", "posB", "idx"], "posA", eps, m, "x_label").select("idx", "x_label")
+
+
+@query("run_labels_m2", _run_sql(2, 500))
+def run_labels_m2(spark, d):
+    return _runs(spark, d, 2, 500)
+
+
+@query("run_labels_m3", _run_sql(3, 800))
+def run_labels_m3(spark, d):
+    return _runs(spark, d, 3, 800)
+
+
+def _xy_sql(eps_sql: str, m: int = 2) -> str:
+    """Labels along posA and then posB, by gaps and islands, which for two points is the same rule."""
+    return f""", {STORE}, e AS (SELECT *, {eps_sql} AS eps FROM store),
+    g AS (SELECT *, CASE WHEN posA - lag(posA) OVER w < eps THEN 0 ELSE 1 END AS cut FROM e WINDOW w AS (PARTITION BY var, chrA, chrB ORDER BY posA, posB, idx)),
+    i AS (SELECT *, sum(cut) OVER (PARTITION BY var, chrA, chrB ORDER BY posA, posB, idx) AS isl FROM g),
+    n AS (SELECT *, count(*) OVER (PARTITION BY var, chrA, chrB, isl) AS size FROM i),
+    g2 AS (SELECT *, CASE WHEN posB - lag(posB) OVER w < eps THEN 0 ELSE 1 END AS cut2 FROM n WHERE size > 1 WINDOW w AS (PARTITION BY var, chrA, chrB, isl ORDER BY posB, posA, idx)),
+    i2 AS (SELECT *, sum(cut2) OVER (PARTITION BY var, chrA, chrB, isl ORDER BY posB, posA, idx) AS isl2 FROM g2),
+    n2 AS (SELECT *, count(*) OVER (PARTITION BY var, chrA, chrB, isl, isl2) AS size2 FROM i2),
+    lab AS (SELECT n.*, n2.isl2, CASE WHEN n2.size2 > 1 THEN true ELSE false END AS dense FROM n LEFT JOIN n2 USING (idx))"""
+
+
+@query("dbscan_xy", _xy_sql("500") + " SELECT idx, dense, min(idx) OVER (PARTITION BY var, chrA, chrB, isl, isl2, CASE WHEN dense THEN 0 ELSE idx + 1 END) AS first_idx FROM lab")
+def dbscan_xy(spark, d):
+    from pyspark.sql import Window
+
+    df = cluster.dbscan_xy(_store(spark, d), 500, 2)
+    w = Window.partitionBy(*cluster.PART, "x_label", "y_label")
+    dense = F.col("y_label").isNotNull()
+    return df.select("idx", dense.alias("dense"), F.when(dense, F.min("idx").over(w)).otherwise(F.col("idx")).alias("first_idx"))
+
+
+N40 = 40
+
+
+def _export_sql(keys: str, tail: str) -> str:
+    return f"""SELECT var, chrA, chrB, {tail} FROM lab GROUP BY var, chrA, chrB, {keys}"""
+
+
+DENSE_TAIL = """CASE WHEN count(*) = 1 THEN min(posA) ELSE CAST(floor(sum(posA) / count(*)) AS BIGINT) END AS posA, CASE WHEN count(*) = 1 THEN min(posB) ELSE CAST(floor(sum(posB) / count(*)) AS BIGINT) END AS posB,
+count(DISTINCT sample) AS occ, count(*) AS n_calls, round(count(DISTINCT sample) / 20, 4) AS frq, min(idx) AS first_idx"""
+
+
+def _summary(members):
+    return export.summarize(members, 20).select("var", "chrA", "chrB", "posA", "posB", "occ", "n_calls", "frq", "first_idx")
+
+
+@query("export_dbscan", _xy_sql("500") + _export_sql("isl, isl2, dense, CASE WHEN dense THEN 0 ELSE idx + 1 END", DENSE_TAIL))
+def export_dbscan(spark, d):
+    return _summary(export.cluster_members(_store(spark, d), dbscan=True))
+
+
+@query("export_no_merge", f", {STORE} SELECT var, chrA, chrB, posA, posB, 1 AS occ, 1 AS n_calls, round(1 / 20, 4) AS frq, idx AS first_idx FROM store WHERE var <> 'INS'")
+def export_no_merge(spark, d):
+    return _summary(export.no_merge_members(_store(spark, d)).where("var <> 'INS'"))
+
+
+@query(
+    "export_genotypes",
+    _xy_sql("500") + """, s AS (SELECT DISTINCT sample FROM store), c AS (SELECT var, chrA, chrB, list(DISTINCT sample) AS hits, min(idx) AS first_idx FROM lab GROUP BY var, chrA, chrB, isl, isl2, dense, CASE WHEN dense THEN 0 ELSE idx + 1 END)
+    SELECT c.first_idx, s.sample, CASE WHEN list_contains(c.hits, s.sample) THEN './1' ELSE '0/0' END AS gt FROM c, s""",
+)
+def export_genotypes(spark, d):
+    samples = sorted(store.column(store.distinct_values(_store(spark, d), "sample"), "sample"))
+    m = export.cluster_members(_store(spark, d), dbscan=True).groupBy(*export.KEY).agg(F.min("idx").alias("first_idx"), F.collect_set("sample").alias("hits"))
+    cols = F.split(tags.genotype_columns(F.lit(samples).cast("array<string>"), F.col("hits")), "\t")
+    return m.select("first_idx", F.posexplode(cols).alias("n", "gt")).select("first_idx", F.element_at(F.lit(samples).cast("array<string>"), F.col("n") + 1).alias("sample"), "gt")
+
+
+@query(
+    "neighbor_degree",
+    f""", {STORE} SELECT q.idx, count(*) AS degree FROM store q JOIN store d ON {PAIR} AND q.var = d.var AND abs(q.posA - d.posA) <= CASE WHEN q.var = 'INS' THEN 50 ELSE 2500 END
+    AND abs(q.posB - d.posB) <= CASE WHEN q.var = 'INS' THEN 50 ELSE 2500 END WHERE q.chrA <> q.chrB OR q.var = 'INS' OR {RATIO} >= 0.8 GROUP BY 1""",
+)
+def neighbor_degree(spark, d):
+    return export.neighbours(_store(spark, d)).groupBy("idx").agg(F.count(F.lit(1)).alias("degree"))
+
+
+@query("export_star_cover")
+def export_star_cover(spark, d):
+    return _summary(export.cluster_members(_store(spark, d)))
+
+
+@query("export_lines")
+def export_lines(spark, d):
+    s = _store(spark, d)
+    return export.lines(export.cluster_members(s), sorted(store.column(store.distinct_values(s, "sample"), "sample"))).select("line")
+
+
+# Merging
+
+EDGE = f"""e AS (SELECT q.idx AS a, d.idx AS b FROM calls q JOIN calls d ON {PAIR} AND q.var = d.var AND (q.posA, q.c % 3, q.k) < (d.posA, d.c % 3, d.k) AND abs(q.posA - d.posA) <= 2000
+WHERE CASE WHEN q.var = 'INS' THEN {DIST} <= 50 WHEN q.chrA <> q.chrB THEN {DIST} <= 2000 ELSE {DIST} <= 2000 AND {RATIO} >= 0.95 END)"""
+
+
+@query("merge_edges", f", {EDGE} SELECT a, b FROM e")
+def merge_edges(spark, d):
+    return merge.merge_edges(merge_calls(spark, d)).select("a", "b")
+
+
+@query("merge_assign")
+def merge_assign(spark, d):
+    return cluster.greedy_merge(merge_calls(spark, d))
+
+
+def _merged(spark, d, **kw):
+    return merge.merge(merge_calls(spark, d), SOURCES, ["P0", "P1", "P2"], **kw)
+
+
+@query("merge_support")
+def merge_support(spark, d):
+    return _merged(spark, d).select("anchor_id", "foundby", "supp_vec", "set_tag", "origin", "varid")
+
+
+@query("merge_info_union")
+def merge_info_union(spark, d):
+    return _merged(spark, d).select("anchor_id", "info_union")
+
+
+@query("merge_format_union")
+def merge_format_union(spark, d):
+    return _merged(spark, d).select("anchor_id", "fmt", F.array_join("sample_values", "|").alias("sample_values"))
+
+
+@query("merge_lines")
+def merge_lines(spark, d):
+    return _merged(spark, d).select("anchor_id", "line")
+
+
+@query("merge_output_order", "SELECT k AS anchor_id, CASE WHEN s1 = '2' THEN 1 WHEN s1 = '1' THEN 2 ELSE 3 END AS contig_rank FROM calls")
+def merge_output_order(spark, d):
+    df = merge_calls(spark, d).select(F.col("call_id").alias("anchor_id"), F.col("raw_chrom").alias("chrom"))
+    return merge.output_order(df, ["2", "1"]).select("anchor_id", "contig_rank")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotate_table(spark, sf_dir)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
