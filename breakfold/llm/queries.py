@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, exact, html, neardup, packing, quality, sharding
+from . import ann, bpe, chat, exact, html, neardup, packing, quality, sharding, substring
 from .common import table
 
 #: Tools that conversations may call; conversations without calls are formatted all the same.
@@ -31,6 +31,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), substring.Index(spark))
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=40)
 
@@ -63,6 +67,7 @@ def queries() -> dict:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_nearest": op2_nearest,
         "op3_bpe": op3_bpe,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_shards": op5_shards,
         "op6_html_text": op6_html_text,
         "op7_chat_format": op7_chat_format,

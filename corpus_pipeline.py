@@ -10,12 +10,15 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from breakfold.llm import exact, packing, quality
+from breakfold.llm import exact, neardup, packing, quality, substring
 from breakfold.llm.common import checkpoint_dir, table
 
 #: Documents that score less are rejected.
 LEAST_QUALITY = 0.5
+#: Near duplicates: five-word shingles, similarity 0.8; a pair at 0.8 is missed with probability 1e-7.
+NEAR = neardup.Params(shingle=5, percent=80, rows=4, bands=30)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +30,22 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.keep_first(docs)
 
 
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.keep_first(docs, NEAR)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts less the passages of 50 words or more that a document with a smaller id has; a text that keeps all its words stays as it was."""
+    left = substring.remove_repeats(docs, substring.Index(spark), with_text=True).select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
+    out = docs.drop("text").join(left, F.col("doc_id") == F.col("__id")).withColumn("text", F.col("__text")).withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long"))
+    return out.select(*docs.columns)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("quality classifier", good), ("exact dedup", unique), ("best-fit packing", packed)]
+STAGES = [("quality classifier", good), ("exact dedup", unique), ("near dedup", distinct), ("substring dedup", without_repeats), ("best-fit packing", packed)]
 
 #: SQL can't express the learned and hashed stages; tests hold them against brute force.
 ORACLE_SQL = None
