@@ -139,7 +139,7 @@ def parse_calls(lines: DataFrame, line: str = "line", keep_swapped_end: bool = F
             "event_type": F.when(F.col("__tra") | F.col("__bnd"), "BND").otherwise(F.col("__kind")),
         }
     )
-    bad = F.col("posA").isNull() | F.col("posB").isNull() | F.col("chrB").isNull() | (end_s.isNotNull() & e.isNull() & ~F.col("__bnd"))
+    bad = F.col("__pos").isNull() | (F.col("__bnd") & F.col("__mpos").isNull()) | F.col("posA").isNull() | F.col("posB").isNull() | F.col("chrB").isNull() | (end_s.isNotNull() & e.isNull() & ~F.col("__bnd"))
     out = out.withColumn("bad", bad)
     return out.drop(*[c for c in out.columns if c.startswith("__")])
 
