@@ -32,6 +32,7 @@ class Params:
     grams: tuple[int, ...] = (2, 3)
     longest: int = 40  # a longer word gives the n-grams of its first and last 20 bytes
     epochs: int = 4
+    least_steps: int = 6000  # small samples are gone through more often
     rate: float = 0.5
     seed: int = 7
     #: The sample that is fitted: labelled rows in the order of a hash of their id, up to so many rows and bytes of text.
@@ -119,8 +120,9 @@ def fit(texts: list[str | None], labels: list[int], params: Params = Params()) -
     layer, bias = np.zeros((2, p.dims), np.float32), np.zeros(2, np.float32)
     weigh = len(y) / (2.0 * np.bincount(y, minlength=2))  # both classes count alike
     weigh /= weigh.max()
-    steps, step = p.epochs * len(docs), 0
-    for _ in range(p.epochs):
+    epochs = max(p.epochs, -(-p.least_steps // len(docs)))
+    steps, step = epochs * len(docs), 0
+    for _ in range(epochs):
         for k in rng.permutation(len(docs)):
             ids, share = docs[k]
             rate = p.rate * (1 - step / steps) * weigh[y[k]]
