@@ -22,7 +22,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -116,6 +115,111 @@ def _in_blocks(rows: DataFrame, key: str, id_col: str, block: int) -> DataFrame:
 TASK = ["__i", "__j"]
 
 
+def _stars(rows: DataFrame, key: str, star, names: list[str]) -> DataFrame:
+    """star(columns, lo, hi) -> (ids, roots) for each task's rows lo..hi, as edges (a, b) from a cluster's least id to each member.
+
+    Tasks of the same partition are taken one after another from its sorted rows; what is held is one Arrow batch and
+    the task that runs over its end.
+    """
+    keys = [key, *TASK]
+
+    def run(batches):
+        held = None
+        for b in _and_end(batches):
+            if b is not None:
+                held = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            if held is None or not held.num_rows:
+                continue
+            new = np.zeros(held.num_rows, bool)
+            new[0] = True
+            for k in keys:
+                v = held.column(k).to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            bounds = np.append(np.nonzero(new)[0], held.num_rows)
+            if b is not None:
+                bounds = bounds[:-1]  # the last task may go on in the next batch
+            columns = {n: held.column(n) for n in names}
+            prepared = star.prepare(columns, bounds[-1])
+            out_a, out_b = [], []
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                if hi - lo > 1:
+                    a, c = star(prepared, lo, hi)
+                    out_a.append(a)
+                    out_b.append(c)
+            held = held.slice(bounds[-1])
+            none = np.zeros(0, np.int64)
+            yield batch_of(["a", "b"], [pa.int64(), pa.int64()], [np.concatenate(out_a or [none]), np.concatenate(out_b or [none])])
+
+    ready = rows.repartition(*keys).sortWithinPartitions(*keys, "doc_id").select(*keys, *names)
+    return ready.mapInArrow(run, "a long, b long")
+
+
+def _and_end(batches):
+    yield from batches
+    yield None
+
+
+class BucketStar:
+    """Clusters of a bucket by size and agreement of signatures."""
+
+    def __init__(self, p: Params):
+        self.p, self.least = p, (p.percent / 100 - p.slack) * p.bins
+
+    def prepare(self, columns: dict, n: int):
+        sig = columns["sig"].slice(0, n)
+        return columns["doc_id"].to_numpy()[:n], columns["n"].to_numpy()[:n], np.frombuffer(b"".join(sig.to_pylist()), np.uint8).reshape(n, -1) if n else None
+
+    def __call__(self, prepared, lo: int, hi: int):
+        ids, n, sigs = (x[lo:hi] for x in prepared)
+        p = self.p
+
+        def linked(i):
+            a, b = np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
+            out = 100 * a >= p.percent * b
+            at = np.nonzero(out)[0]
+            out[at] = (sigs[at + i + 1] == sigs[i]).sum(axis=1) >= self.least
+            return out
+
+        return _edges(ids, _clusters(len(ids), linked))
+
+
+class SetStar:
+    """Clusters of a group by the similarity of full sets."""
+
+    def __init__(self, p: Params):
+        self.p, self.hashes = p, None
+
+    def prepare(self, columns: dict, n: int):
+        self.hashes = self.hashes or WordHashes()
+        return columns["doc_id"].to_numpy()[:n], columns["text"]
+
+    def __call__(self, prepared, lo: int, hi: int):
+        p, ids = self.p, prepared[0][lo:hi]
+        sets = [shingle_set(words(t, lower=True), p.shingle, self.hashes) for t in prepared[1].slice(lo, hi - lo).to_pylist()]
+        n = np.array([len(s) for s in sets], np.int64)
+        flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        ends = np.cumsum(n)
+        # Members of each shingle, as runs of a sorted list.
+        owner = np.repeat(np.arange(len(sets)), n)
+        order = np.argsort(flat, kind="stable")
+        holders, first = owner[order], np.searchsorted(flat[order], np.arange(flat.max() + 2))
+
+        def linked(i):
+            own = flat[ends[i] - n[i] : ends[i]]
+            a, b = first[own], first[own + 1]
+            lens = b - a
+            at = np.repeat(b - np.cumsum(lens), lens) + np.arange(lens.sum())
+            both = np.bincount(holders[at], minlength=len(sets))[i + 1 :]
+            return 100 * both >= p.percent * (n[i] + n[i + 1 :] - both)
+
+        return _edges(ids, _clusters(len(ids), linked))
+
+
+def _edges(ids: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keep = root != np.arange(len(ids))
+    return ids[root[keep]], ids[keep]
+
+
 def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
@@ -161,59 +265,17 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     signed = cut(rows.mapInArrow(sign, "doc_id long, n long, sig binary, keys array<long>").join(one, "doc_id", "left_semi"))
     banded = signed.select("doc_id", F.explode("keys").alias("key"))
     met = _in_blocks(banded, "key", "doc_id", p.block).join(signed.select("doc_id", "n", "sig"), "doc_id")
-    least_agree = (p.percent / 100 - p.slack) * p.bins
-
-    def bucket_stars(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id")
-        n, ids = pdf.n.to_numpy(), pdf.doc_id.to_numpy()
-        sigs = np.frombuffer(b"".join(pdf.sig), np.uint8).reshape(len(pdf), -1)
-
-        def linked(i):
-            a, b = np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
-            out = 100 * a >= p.percent * b
-            at = np.nonzero(out)[0]
-            out[at] = (sigs[at + i + 1] == sigs[i]).sum(axis=1) >= least_agree
-            return out
-
-        root = _clusters(len(ids), linked)
-        keep = root != np.arange(len(ids))
-        return pd.DataFrame({"a": ids[root[keep]], "b": ids[keep]})
-
-    stars = met.groupBy("key", *TASK).applyInPandas(bucket_stars, "a long, b long")
+    stars = _stars(met, "key", BucketStar(p), ["doc_id", "n", "sig"])
     groups = cut(components(stars))
     grouped = groups.select(F.col("id").alias("doc_id"), F.col("component").alias("grp"))
     grouped = grouped.unionByName(grouped.select(F.col("grp").alias("doc_id"), "grp").distinct())
     # Only texts of groups travel; a document is sent once to every block of its group.
     texts = rows.join(grouped, "doc_id")
 
-    def group_stars(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id")
-        ids, hashes = pdf.doc_id.to_numpy(), WordHashes()
-        sets = [shingle_set(words(t, lower=True), p.shingle, hashes) for t in pdf.text]
-        n = np.array([len(s) for s in sets], np.int64)
-        flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        ends = np.cumsum(n)
-        # Members of each shingle, as runs of a sorted list.
-        owner = np.repeat(np.arange(len(sets)), n)
-        order = np.argsort(flat, kind="stable")
-        holders, first = owner[order], np.searchsorted(flat[order], np.arange(flat.max() + 2))
-
-        def linked(i):
-            own = flat[ends[i] - n[i] : ends[i]]
-            a, b = first[own], first[own + 1]
-            lens = b - a
-            at = np.repeat(b - np.cumsum(lens), lens) + np.arange(lens.sum())
-            both = np.bincount(holders[at], minlength=len(sets))[i + 1 :]
-            return 100 * both >= p.percent * (n[i] + n[i + 1 :] - both)
-
-        root = _clusters(len(ids), linked)
-        keep = root != np.arange(len(ids))
-        return pd.DataFrame({"a": ids[root[keep]], "b": ids[keep]})
-
-    links = _in_blocks(texts, "grp", "doc_id", p.block).groupBy("grp", *TASK).applyInPandas(group_stars, "a long, b long")
+    links = _stars(_in_blocks(texts, "grp", "doc_id", p.block), "grp", SetStar(p), ["doc_id", "text"])
     found = components(links).select(F.col("id").alias("rep"), "component")
     out = reps.join(found, "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
