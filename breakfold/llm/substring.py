@@ -6,7 +6,7 @@ windows mostly share theirs, so a document has one anchor for about a dozen wind
 
 The index holds sorted immutable runs of (anchor, least document id).  A batch of documents
 becomes a new run; the batch's anchors are merge-joined with all runs.  Only windows whose
-anchor some other document has are looked at further: they are verified by 128-bit hashes of their
+anchor some other document has are looked at further: they are verified by 96-bit hashes of their
 words, and the least document id of each is found by aggregation.  Runs are compacted when there
 are too many of a level, as in a log-structured merge tree.
 """
@@ -20,10 +20,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, checkpoint_dir, cut, small_batches
+from .common import batch_of, checkpoint_dir, cut, discard, small_batches
 from .words import U, WordHashes, mixed, runs, sliding_min, words
 
 
@@ -43,7 +44,7 @@ def anchors(h: np.ndarray, p: Params) -> np.ndarray:
 
 
 def windows(h: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each window."""
+    """Two independent hashes of each window."""
     return runs(h, p.width), runs(mixed(h ^ U(0xA0761D6478BD642F)), p.width)
 
 
@@ -91,20 +92,23 @@ class Index:
             level += 1
 
 
-def _anchor_rows(docs: DataFrame, p: Params) -> DataFrame:
+def _digests(docs: DataFrame, p: Params) -> DataFrame:
+    """doc_id, n_words, a digest of the words, and the distinct anchors of each document."""
+
     def run(batches):
         hashes = WordHashes()
         for b in batches:
-            ids, found = [], []
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if i is not None:
-                    a = np.unique(anchors(hashes(words(t)), p))
-                    ids.append(np.full(len(a), i, np.int64))
-                    found.append(a.view(np.int64))
-            none = np.zeros(0, np.int64)
-            yield batch_of(["doc_id", "anchor"], [pa.int64(), pa.int64()], [np.concatenate(ids or [none]), np.concatenate(found or [none])])
+            sizes, same, found = [], [], []
+            for t in b.column("text").to_pylist():
+                w = words(t)
+                sizes.append(len(w))
+                same.append(xxhash.xxh3_128_digest(b" ".join(w)))
+                found.append(np.unique(anchors(hashes(w), p)).view(np.int64))
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found or [np.zeros(0, np.int64)])))
+            yield batch_of(["doc_id", "n_words", "same", "anchors"], [pa.int64(), pa.int64(), pa.binary(), None], [b.column("doc_id"), sizes, same, lists])
 
-    return docs.mapInArrow(run, "doc_id long, anchor long")
+    return docs.mapInArrow(run, "doc_id long, n_words long, same binary, anchors array<long>")
 
 
 def remove_repeats(batch: DataFrame, index: Index, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -122,20 +126,48 @@ def remove_repeats(batch: DataFrame, index: Index, history: DataFrame | None = N
     small_batches(spark)
     plain = lambda d: d.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = plain(batch)
-    rows = cut(_anchor_rows(docs, p))
+    digests = cut(_digests(docs, p))
+    # Of documents with the same words only the one of least id is looked at: the others' windows are all in it.
+    firsts = digests.where(f"doc_id is not null and n_words >= {p.width}").groupBy("same").agg(F.min("doc_id").alias("rep"))
+    marked = cut(digests.join(firsts, "same", "left").select("doc_id", "rep", "anchors"))
+    discard(digests)
+    rows = marked.where("doc_id = rep").select("doc_id", F.explode("anchors").alias("anchor"))
     own = cut(rows.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
     old = index.read()
-    known = own if old is None else own.unionByName(old.join(own.select("anchor"), "anchor", "left_semi"))
-    shared = known.groupBy("anchor").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first < last").select("anchor")
+    if old is None:
+        shared = own.where("first < last").select("anchor")
+    else:
+        known = own.unionByName(old.join(own.select("anchor"), "anchor", "left_semi"))
+        shared = known.groupBy("anchor").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first < last").select("anchor")
+    shared = cut(shared)
     # Documents with shared anchors, and which these are: a document's list is no longer than the document.
-    lists = cut(rows.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
+    lists = cut(rows.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared")))
+    copies = marked.where("rep < doc_id").select("doc_id", F.lit(True).alias("copy")).distinct()
     index.append(own)
 
+    def split(batches):
+        """The result of documents without shared anchors; the text of others goes on."""
+        for b in batches:
+            sizes, removed, sums, kept, on = [], [], [], [], []
+            for t, some, copy in zip(*(b.column(n).to_pylist() for n in ("text", "shared", "copy")), strict=True):
+                w = words(t)
+                out = b"" if copy else b" ".join(w)
+                sizes.append(len(w))
+                removed.append(len(w) if copy else 0)
+                sums.append(None if some else hashlib.sha256(out).hexdigest())
+                on.append(t if some else None)
+                kept.append(None if some or not with_text else "" if copy else t)
+            yield batch_of(["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "text", "shared"], [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), None], [b.column("doc_id"), sizes, removed, sums, kept, on, b.column("shared")])
+
+    known_of = docs.join(lists, "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "text", "shared", "copy")
+    staged = cut(known_of.mapInArrow(split, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, text string, shared array<long>"))
+    discard(marked, shared, lists)
+
     def emit(batches):
         hashes = WordHashes()
         for b in batches:
             ids, a, c = [], [], []
-            for i, t, some in zip(*(b.column(n).to_pylist() for n in ("doc_id", "text", "anchors")), strict=True):
+            for i, t, some in zip(*(b.column(n).to_pylist() for n in ("doc_id", "text", "shared")), strict=True):
                 h = hashes(words(t))
                 at = anchors(h, p)
                 one, two = windows(h, p)
@@ -143,18 +175,19 @@ def remove_repeats(batch: DataFrame, index: Index, history: DataFrame | None = N
                 pair = np.unique(np.stack([one[hit], two[hit]]), axis=1)
                 ids.append(np.full(pair.shape[1], i, np.int64))
                 a.append(pair[0].view(np.int64))
-                c.append(pair[1].view(np.int64))
+                c.append(pair[1].view(np.int64) >> 32)
             none = np.zeros(0, np.int64)
-            yield batch_of(["doc_id", "w1", "w2"], [pa.int64()] * 3, [np.concatenate(x or [none]) for x in (ids, a, c)])
+            yield batch_of(["doc_id", "w1", "w2"], [pa.int64(), pa.int64(), pa.int32()], [np.concatenate(ids or [none]), np.concatenate(a or [none]), np.concatenate(c or [none]).astype(np.int32)])
 
-    looked = docs.join(lists, "doc_id").select("doc_id", "text", "anchors")
-    seen = looked.mapInArrow(emit, "doc_id long, w1 long, w2 long")
+    open_ones = staged.where("text is not null").select("doc_id", "text", "shared")
+    seen = open_ones.mapInArrow(emit, "doc_id long, w1 long, w2 int")
     if history is not None and old is not None:
-        past = _anchor_rows(plain(history), p).join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-        seen = seen.unionByName(plain(history).join(past, "doc_id").select("doc_id", "text", "anchors").mapInArrow(emit, "doc_id long, w1 long, w2 long"))
+        past = _digests(plain(history), p).select("doc_id", F.explode("anchors").alias("anchor")).join(own.select("anchor"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
+        seen = seen.unionByName(plain(history).join(past, "doc_id").select("doc_id", "text", "shared").mapInArrow(emit, "doc_id long, w1 long, w2 int"))
     seen = cut(seen)
-    least = seen.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w1", "w2", "first")
-    hits = seen.join(least, ["w1", "w2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("w1").alias("gone"))
+    least = cut(seen.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w1", "w2", "first"))
+    hits = cut(seen.join(least, ["w1", "w2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("w1").alias("gone")))
+    discard(seen, least, own)
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.string()] * with_text
 
@@ -176,6 +209,8 @@ def remove_repeats(batch: DataFrame, index: Index, history: DataFrame | None = N
             yield batch_of(names, types, [b.column("doc_id"), *cols])
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
-    return docs.join(hits, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(finish, schema)
+    rest = open_ones.select("doc_id", "text").join(hits, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(finish, schema)
+    done = staged.where("text is null").select(*names[:4], *[F.col("kept").alias("text")] * with_text)
+    return done.unionByName(rest)
 
 
