@@ -86,6 +86,26 @@ def oracle_sql() -> dict[str, str]:
             with d as (select doc_id, length(coalesce(text, '')) as n, translate(coalesce(text, ''), {_BLANKS}, '') as norm from documents),
             r as (select *, first_value(doc_id) over (partition by norm order by n desc, doc_id) as keep_id, count(*) over (partition by norm) as group_size from d)
             select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from r""",
+        "op4_substring_dedup": r"""
+            with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+            i as (select doc_id, w, unnest(range(1, len(w) - 48)) as s from d where len(w) >= 50),
+            win as (select doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) as h from i),
+            f as (select h, min(doc_id) as m from win group by h),
+            gone as (select distinct doc_id, unnest(range(s, s + 50)) as p from win join f using (h) where m < doc_id),
+            words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+            kept as (select doc_id, string_agg(word, ' ' order by p) as t, count(*) as n from words anti join gone using (doc_id, p) group by doc_id)
+            select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(k.n, 0))::bigint as n_removed, sha256(coalesce(k.t, '')) as kept_sha256 from d left join kept k using (doc_id)""",
+        "op8_near_duplicates": r"""
+            with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+            i as (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as s from d where len(w) > 0),
+            sh as (select distinct doc_id, array_to_string(w[s:s + 2], ' ') as h from i),
+            n as (select doc_id, count(*) as n from sh group by doc_id),
+            c as (select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b on a.h = b.h and a.doc_id < b.doc_id group by all),
+            l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+            e as (select a, b from l union all select b, a from l),
+            r(id, root) as (select doc_id, doc_id from d union select e.b, r.root from r join e on e.a = r.id),
+            m as (select id, min(root) as component_id from r group by id)
+            select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id, d.doc_id = m.component_id as kept from d left join n using (doc_id) join m on m.id = d.doc_id""",
         "op7_chat_format": """
             with m as (select conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations)
             select conv_id, turn, role, 'text' as kind, null::varchar as tool_call_id, false as linked, turn as order_turn, 0 as order_rank, true as valid, '' as errors,
