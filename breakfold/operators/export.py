@@ -36,9 +36,9 @@ def cluster_members(store: DataFrame, overlap: float = 0.8, bnd_distance: int =
     """A row per cluster and member: kind, x_label, y_label, center_idx, var, chrA, chrB, idx, posA, posB, sample, is_center.
 
     Noise is a cluster of its own row.  Density clusters stand as they are with ``dbscan``, else they are refined by star covers.
-    ``overlap`` must be 0 to 1, or infinite to keep only a row with itself (no merging but of insertions).
+    ``overlap`` must be 0 to 1; ``no_merge_members`` turns merging off.
     """
-    if not (0 <= overlap <= 1 or overlap == float("inf")):
+    if not 0 <= overlap <= 1:
         raise ValueError("overlap must be 0 to 1")
     df = labelled(store, bnd_distance, ins_distance, dbscan, epsilon, min_pts)
     cols = [*PART, "idx", "posA", "posB", "sample"]
@@ -48,8 +48,7 @@ def cluster_members(store: DataFrame, overlap: float = 0.8, bnd_distance: int =
         more = dense.select(F.lit("dense").alias("kind"), "x_label", "y_label", F.lit(0).cast("long").alias("center_idx"), *cols, F.lit(False).alias("is_center"))
     else:
         far = F.when(_is_ins(), ins_distance).otherwise(bnd_distance)
-        need = F.when(_is_ins(), -1.0).otherwise(0.0 if overlap == float("inf") else overlap)
-        # Without merging, clusters of types other than insertions are single rows as no two are neighbours.
+        need = F.when(_is_ins(), -1.0).otherwise(float(overlap))
         stars = star_cover(dense, far, need, [*PART, "x_label", "y_label"])
         more = stars.select(F.lit("star").alias("kind"), "x_label", "y_label", "center_idx", *cols, "is_center")
     return noise.unionByName(more)
