@@ -65,4 +65,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """The rows of docs that stay, with all their columns; ids must be unique and not null."""
     kept = winners(docs, id_col, text_col, salts).select(F.col("keep_id").alias("__keep"))
-    return docs.join(kept, F.col(id_col).cast("long") == F.col("__keep"), "left_semi")
+    return docs.join(kept.hint("merge"), F.col(id_col).cast("long") == F.col("__keep"), "left_semi")

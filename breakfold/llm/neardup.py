@@ -232,37 +232,26 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def digest(batches):
-        hashes = WordHashes()
+    def sign(batches):
+        hashes, signer = WordHashes(), Signer(p)
         for b in batches:
-            same, sizes = [], []
+            same, sizes, sigs, keys = [], [], [], []
             for t in b.column("text").to_pylist():
                 w = words(t, lower=True)
+                s = shingle_set(w, p.shingle, hashes)
+                v = signer.values(s) if w else None
                 same.append(xxhash.xxh3_128_digest(b" ".join(w)) if w else None)
-                sizes.append(len(shingle_set(w, p.shingle, hashes)))
-            yield batch_of(["doc_id", "same", "n_shingles"], [pa.int64(), pa.binary(), pa.int64()], [b.column("doc_id"), same, sizes])
-
-    # Small rows for every document, kept for the last join too.
-    light = cut(rows.mapInArrow(digest, "doc_id long, same binary, n_shingles long"))
-    classes = light.where("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"))
-    reps = cut(light.join(classes, "same", "left").select("doc_id", "n_shingles", "rep"))
+                sizes.append(len(s))
+                sigs.append((v & U(255)).astype(np.uint8).tobytes() if w else None)
+                keys.append(signer.keys(v).tolist() if w else None)
+            yield batch_of(["doc_id", "same", "n", "sig", "keys"], [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())], [b.column("doc_id"), same, sizes, sigs, keys])
+
+    # One pass over the texts; a document's row is of fixed size.
+    signs = cut(rows.mapInArrow(sign, "doc_id long, same binary, n long, sig binary, keys array<long>"))
+    classes = signs.where("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"))
+    reps = cut(signs.select("doc_id", "same", F.col("n").alias("n_shingles")).join(classes, "same", "left").select("doc_id", "n_shingles", "rep"))
     one = reps.where("doc_id = rep").select("doc_id").distinct()
-
-    def sign(batches):
-        hashes, signer = WordHashes(), Signer(p)
-        for b in batches:
-            ids, sizes, sigs, keys = [], [], [], []
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                s = shingle_set(words(t, lower=True), p.shingle, hashes)
-                if len(s) and i is not None:
-                    v = signer.values(s)
-                    ids.append(i)
-                    sizes.append(len(s))
-                    sigs.append((v & U(255)).astype(np.uint8).tobytes())
-                    keys.append(signer.keys(v).tolist())
-            yield batch_of(["doc_id", "n", "sig", "keys"], [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())], [ids, sizes, sigs, keys])
-
-    signed = cut(rows.mapInArrow(sign, "doc_id long, n long, sig binary, keys array<long>").join(one, "doc_id", "left_semi"))
+    signed = signs.where("same is not null").join(one, "doc_id", "left_semi")
     banded = signed.select("doc_id", F.explode("keys").alias("key"))
     met = _in_blocks(banded, "key", "doc_id", p.block).join(signed.select("doc_id", "n", "sig"), "doc_id")
     stars = _stars(met, "key", BucketStar(p), ["doc_id", "n", "sig"])
@@ -270,7 +259,8 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     grouped = groups.select(F.col("id").alias("doc_id"), F.col("component").alias("grp"))
     grouped = grouped.unionByName(grouped.select(F.col("grp").alias("doc_id"), "grp").distinct())
     # Only texts of groups travel; a document is sent once to every block of its group.
-    texts = rows.join(grouped, "doc_id")
+    # The same join at every size: a broadcast that small tables get would hide what large ones send.
+    texts = rows.join(grouped.hint("merge"), "doc_id")
 
     links = _stars(_in_blocks(texts, "grp", "doc_id", p.block), "grp", SetStar(p), ["doc_id", "text"])
     found = components(links).select(F.col("id").alias("rep"), "component")
@@ -282,4 +272,4 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
 def keep_first(docs: DataFrame, params: Params, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with the least id of their group, with all their columns."""
     gone = near_duplicates(docs, params, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
