@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import pairwise
 
@@ -30,7 +31,7 @@ class Params:
     buckets: int = 1 << 16
     dims: int = 8
     grams: tuple[int, ...] = (2, 3)
-    longest: int = 40  # a longer word gives the n-grams of its first and last 20 bytes
+    longest: int = 40  # a longer word isn't held in memos; its n-grams count like those of others
     epochs: int = 4
     least_steps: int = 6000  # small samples are gone through more often
     rate: float = 0.5
@@ -40,26 +41,36 @@ class Params:
     most_bytes: int = 32_000_000
 
 
+#: Bytes of words that are hashed at once.
+PART = 1 << 20
+
+
+def _grams(buf: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of n bytes (FNV-1a on 32 bits)."""
+    h = np.full(len(buf) - n + 1, 2166136261 + n, np.uint32)
+    for j in range(n):
+        h = (h ^ buf[j : len(buf) - n + 1 + j]) * np.uint32(16777619)
+    h ^= h >> np.uint32(15)
+    return h
+
+
 def word_features(words: list[bytes], p: Params) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of the words and of their character n-grams, word after word, and how many each word has.
 
-    Words get a mark at both ends.  n-grams of a run of bytes are hashed at once (FNV-1a on 32 bits).
+    Words get a mark at both ends.  n-grams of a run of bytes are hashed at once.
     """
     mask = np.uint32(p.buckets - 1)
-    marked = [b"<" + (w if len(w) <= p.longest else w[:20] + w[-20:]) + b">" for w in words]
+    marked = [b"<" + w + b">" for w in words]
     buf = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint32)
     lens = np.fromiter(map(len, marked), np.int64, len(marked))
-    starts, ends = np.cumsum(lens) - lens, np.cumsum(lens)
+    ends = np.cumsum(lens)
     owner = np.repeat(np.arange(len(words)), lens)
     whole = np.fromiter((zlib.crc32(w) for w in words), np.uint32, len(words))
     parts, owners = [whole & mask], [np.arange(len(words))]
     for n in p.grams:
         if len(buf) < n:
             continue
-        h = np.full(len(buf) - n + 1, 2166136261 + n, np.uint32)
-        for j in range(n):
-            h = (h ^ buf[j : len(buf) - n + 1 + j]) * np.uint32(16777619)
-        h ^= h >> np.uint32(15)
+        h = _grams(buf, n)
         inside = np.arange(len(h)) + n <= ends[owner[: len(h)]]
         parts.append((h & mask)[inside])
         owners.append(owner[: len(h)][inside])
@@ -68,6 +79,33 @@ def word_features(words: list[bytes], p: Params) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(parts)[order].astype(np.int64), np.bincount(own, minlength=len(words))
 
 
+def _sliced(word: bytes, p: Params) -> Iterator[np.ndarray]:
+    """The features of one word, of any length, in parts of bounded size."""
+    mask = np.uint32(p.buckets - 1)
+    yield np.array([zlib.crc32(word) & int(mask)], np.int64)
+    marked = np.frombuffer(b"<" + word + b">", np.uint8)
+    for n in p.grams:
+        for at in range(0, len(marked) - n + 1, PART):
+            yield (_grams(marked[at : at + PART + n - 1].astype(np.uint32), n) & mask).astype(np.int64)
+
+
+def feature_parts(words: list[bytes], p: Params) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Where a part's words start in the list, their features and how many each has; a word longer than PART comes in several parts."""
+    at, size = 0, 0
+    for k, w in enumerate(words):
+        if k > at and size + len(w) > PART:
+            yield at, *word_features(words[at:k], p)
+            at, size = k, 0
+        if len(w) > PART:
+            for flat in _sliced(w, p):
+                yield k, flat, np.array([len(flat)])
+            at = k + 1
+        else:
+            size += len(w)
+    if at < len(words):
+        yield at, *word_features(words[at:], p)
+
+
 def repeats(words: list[bytes]) -> list[bytes]:
     """Word bigrams whose two words are the same, as one feature word whatever the word is."""
     return [SAME for a, b in pairwise(words) if a == b]
@@ -82,16 +120,24 @@ def document_features(text: str | None, p: Params, memo: dict[bytes, np.ndarray]
     words = (text or "").encode().split()
     counts = Counter(words)
     counts.update(repeats(words))
-    if new := [w for w in counts if w not in memo]:
-        flat, lens = word_features(new, p)
-        memo.update(zip(new, np.split(flat, np.cumsum(lens)[:-1]), strict=True))
     if not counts:
-        return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    lists = [memo[w] for w in counts]
-    times = np.repeat(np.fromiter(counts.values(), np.float32, len(counts)), [len(x) for x in lists])
-    ids, at = np.unique(np.concatenate(lists), return_inverse=True)
-    share = np.bincount(at, weights=times).astype(np.float32)
-    return ids, share / share.sum()
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    short = [w for w in counts if len(w) <= p.longest]
+    new = [w for w in short if w not in memo]
+    for at, flat, lens in feature_parts(new, p):
+        memo.update(zip(new[at : at + len(lens)], np.split(flat, np.cumsum(lens)[:-1]), strict=True))
+    total = np.zeros(p.buckets)
+    if short:
+        lists = [memo[w] for w in short]
+        times = np.repeat(np.fromiter((counts[w] for w in short), np.float64, len(short)), [len(x) for x in lists])
+        total += np.bincount(np.concatenate(lists), times, p.buckets)
+    long = [w for w in counts if len(w) > p.longest]
+    times = np.fromiter((counts[w] for w in long), np.float64, len(long))
+    for at, flat, lens in feature_parts(long, p):
+        total += np.bincount(flat, np.repeat(times[at : at + len(lens)], lens), p.buckets)
+    ids = np.flatnonzero(total)
+    share = total[ids].astype(np.float32)
+    return ids.astype(np.int32), share / share.sum()
 
 
 @dataclass(frozen=True)
@@ -173,21 +219,29 @@ def fit_sample(docs: DataFrame, labels: DataFrame, target: str, params: Params =
 
 
 class Scorer:
-    """Scores texts with a bounded memo of words."""
+    """Scores texts with a bounded memo of words; long words aren't held in it."""
 
     def __init__(self, model: Model, most: int = 400_000):
         self.model, self.most, self.memo = model, most, {}
         self.sums, self.counts = [], []
 
+    def _weigh(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The sum of each word's features and their number."""
+        sums, counts = np.zeros(len(words)), np.zeros(len(words), np.int64)
+        for at, flat, lens in feature_parts(words, self.model.params):
+            sums[at : at + len(lens)] += np.add.reduceat(self.model.weight[flat].astype(np.float64), np.cumsum(lens) - lens)
+            counts[at : at + len(lens)] += lens
+        return sums, counts
+
     def _learn(self, words: list[bytes]) -> None:
-        flat, lens = word_features(words, self.model.params)
-        sums = np.add.reduceat(self.model.weight[flat].astype(np.float64), np.cumsum(lens) - lens)
+        sums, counts = self._weigh(words)
         at = len(self.memo)
         self.memo.update(zip(words, range(at, at + len(words)), strict=True))
-        self.sums, self.counts = np.concatenate((self.sums, sums)), np.concatenate((self.counts, lens))
+        self.sums, self.counts = np.concatenate((self.sums, sums)), np.concatenate((self.counts, counts))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros(len(texts))
+        longest = self.model.params.longest
         for at in range(0, len(texts), 64):
             split = [(t or "").encode().split() for t in texts[at : at + 64]]
             split = [w + repeats(w) for w in split]
@@ -195,12 +249,20 @@ class Scorer:
                 self.memo, self.sums, self.counts = {}, [], []
             known = self.memo
             new = sorted({w for words in split for w in words if w not in known})
+            long = [w for w in new if len(w) > longest]
+            if long:
+                new = [w for w in new if len(w) <= longest]
+                rare = dict(zip(long, zip(*self._weigh(long), strict=True), strict=True))
             if new:
                 self._learn(new)
             for k, words in enumerate(split, at):
                 if words:
+                    others = [rare[w] for w in words if len(w) > longest] if long else []
+                    if others:
+                        words = [w for w in words if len(w) <= longest]
                     ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                    out[k] = self.sums[ids].sum() / self.counts[ids].sum()
+                    total, n = (self.sums[ids].sum(), self.counts[ids].sum()) if words else (0.0, 0)
+                    out[k] = (total + sum(x for x, _ in others)) / (n + sum(c for _, c in others))
         return 1 / (1 + np.exp(-np.clip(out + self.model.bias, -500, 500)))
 
 
