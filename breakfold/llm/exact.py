@@ -21,6 +21,10 @@ from .common import text_of, without_blanks
 _HALF, _SHIFT = "cast(9223372036854775808 as decimal(20,0))", "cast(36893488147419103232 as decimal(20,0))"
 
 
+#: A row's length and id as one number; a null id is below every other.
+_RANK = f"cast(cast(n_chars as decimal(10,0)) * {_SHIFT} + coalesce({_HALF} - cast(doc_id as decimal(19,0)), 0) as decimal(38,0))"
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     base = base.select("doc_id", F.length("text").alias("n_chars"), without_blanks(F.col("text")).alias("norm"))
@@ -28,16 +32,15 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame
 
 
 def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """One row per distinct normalised text: digest, keep_id, group_size, present (bits of the salts that occur)."""
+    """One row per distinct normalised text: digest, rank of the row that stays, keep_id, group_size, present (bits of the salts that occur)."""
     if not 1 <= salts <= 62:
         raise ValueError("salts must be 1 to 62")
-    rank = f"cast(n_chars as decimal(10,0)) * {_SHIFT} + coalesce({_HALF} - cast(doc_id as decimal(19,0)), 0)"
-    local = _keyed(docs, id_col, text_col, salts).select("digest", "norm", "salt", F.expr(f"cast({rank} as decimal(38,0))").alias("rank"))
+    local = _keyed(docs, id_col, text_col, salts).select("digest", "norm", "salt", F.expr(_RANK).alias("rank"))
     salted = local.groupBy("digest", "norm", "salt").agg(F.max("rank").alias("rank"), F.count(F.lit(1)).alias("n"))
     whole = salted.groupBy("digest", "norm").agg(F.max("rank").alias("rank"), F.sum("n").alias("group_size"), F.expr("bit_or(shiftleft(1L, salt))").alias("present"))
     part = F.expr(f"rank % {_SHIFT}")
     keep = F.when(part > 0, F.expr(f"cast({_HALF} - rank % {_SHIFT} as bigint)"))
-    return whole.select("digest", keep.alias("keep_id"), "group_size", "present")
+    return whole.select("digest", "rank", keep.alias("keep_id"), "group_size", "present")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
@@ -63,6 +66,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """The rows of docs that stay, with all their columns; ids must be unique and not null."""
-    kept = winners(docs, id_col, text_col, salts).select(F.col("keep_id").alias("__keep"))
-    return docs.join(kept.hint("merge"), F.col(id_col).cast("long") == F.col("__keep"), "left_semi")
+    """One row of docs for each group of equal texts, with all its columns.
+
+    It is the row that ``exact_dedup`` keeps; of rows that have that id (or, if the group has no other, a null id) and
+    that length, one stays.  Rows are told by group and rank and not by id, so ids may be null or repeated.
+    """
+    kept = winners(docs, id_col, text_col, salts).select(F.col("digest").alias("__digest"), F.col("rank").alias("__rank"))
+    key = ["__digest", "__rank"]
+    text, n = text_of(text_col), F.length(text_of(text_col))
+    rank = F.expr(_RANK.replace("n_chars", "__n").replace("doc_id", "__id"))
+    rows = docs.withColumns({"__digest": F.sha2(without_blanks(text), 256), "__n": n, "__id": F.col(id_col).cast("long")})
+    rows = rows.withColumn("__rank", rank).drop("__n", "__id")
+    # Candidates of a group have one id; the join has brought them together in order.
+    return rows.join(kept.hint("merge"), key, "left_semi").dropDuplicates(key).select(*docs.columns)

@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import batch_of, checkpoint_dir, cut, discard, small_batches
 from .words import U, WordHashes, mixed, runs, sliding_min, words
@@ -111,8 +112,8 @@ def _digests(docs: DataFrame, p: Params) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_words long, same binary, anchors array<long>")
 
 
-def remove_repeats(batch: DataFrame, index: Index, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """Every row's n_words, n_removed and kept_sha256 (and kept text), and the batch added to the index.
+def remove_repeats(batch: DataFrame, index: Index, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, with_row: bool = False) -> DataFrame:
+    """Every row's n_words, n_removed and kept_sha256 (and kept text, and ``row``: all columns but the text), and the batch added to the index.
 
     A word goes if a window that covers it also starts in a document with a smaller id, of the batch or of ``history``, the
     documents that the index was built from (read again only where an anchor is shared).  Windows are judged on
@@ -126,7 +127,16 @@ def remove_repeats(batch: DataFrame, index: Index, history: DataFrame | None = N
     small_batches(spark)
     plain = lambda d: d.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = plain(batch)
-    digests = cut(_digests(docs, p))
+    carried = ["row"] * with_row
+    if with_row:
+        whole = F.struct(*[F.col(f"`{c}`") for c in batch.columns if c != text_col]).alias("row")
+        docs = batch.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), whole)
+
+    def typed(ddl: str) -> StructType:
+        out = StructType.fromDDL(ddl)
+        return StructType([*out.fields, *[docs.schema[c] for c in carried]])
+
+    digests = cut(_digests(docs.select("doc_id", "text"), p))
     # Of documents with the same words only the one of least id is looked at: the others' windows are all in it.
     firsts = digests.where(f"doc_id is not null and n_words >= {p.width}").groupBy("same").agg(F.min("doc_id").alias("rep"))
     marked = cut(digests.join(firsts, "same", "left").select("doc_id", "rep", "anchors"))
@@ -157,10 +167,10 @@ def remove_repeats(batch: DataFrame, index: Index, history: DataFrame | None = N
                 sums.append(None if some else hashlib.sha256(out).hexdigest())
                 on.append(t if some else None)
                 kept.append(None if some or not with_text else "" if copy else t)
-            yield batch_of(["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "text", "shared"], [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), None], [b.column("doc_id"), sizes, removed, sums, kept, on, b.column("shared")])
+            yield batch_of(["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "text", "shared", *carried], [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), None, *[None for _ in carried]], [b.column("doc_id"), sizes, removed, sums, kept, on, b.column("shared"), *[b.column(c) for c in carried]])
 
-    known_of = docs.join(lists, "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "text", "shared", "copy")
-    staged = cut(known_of.mapInArrow(split, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, text string, shared array<long>"))
+    known_of = docs.join(lists, "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "text", "shared", "copy", *carried)
+    staged = cut(known_of.mapInArrow(split, typed("doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, text string, shared array<long>")))
     discard(marked, shared, lists)
 
     def emit(batches):
@@ -179,8 +189,8 @@ def remove_repeats(batch: DataFrame, index: Index, history: DataFrame | None = N
             none = np.zeros(0, np.int64)
             yield batch_of(["doc_id", "w1", "w2"], [pa.int64(), pa.int64(), pa.int32()], [np.concatenate(ids or [none]), np.concatenate(a or [none]), np.concatenate(c or [none]).astype(np.int32)])
 
-    open_ones = staged.where("text is not null").select("doc_id", "text", "shared")
-    seen = open_ones.mapInArrow(emit, "doc_id long, w1 long, w2 int")
+    open_ones = staged.where("text is not null").select("doc_id", "text", "shared", *carried)
+    seen = open_ones.select("doc_id", "text", "shared").mapInArrow(emit, "doc_id long, w1 long, w2 int")
     if history is not None and old is not None:
         past = _digests(plain(history), p).select("doc_id", F.explode("anchors").alias("anchor")).join(own.select("anchor"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
         seen = seen.unionByName(plain(history).join(past, "doc_id").select("doc_id", "text", "shared").mapInArrow(emit, "doc_id long, w1 long, w2 int"))
@@ -206,11 +216,11 @@ def remove_repeats(batch: DataFrame, index: Index, history: DataFrame | None = N
                 row = [n, n - len(w), hashlib.sha256(kept).hexdigest()] + [kept.decode("utf-8", "surrogatepass") if gone else t] * with_text
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            yield batch_of(names, types, [b.column("doc_id"), *cols])
+            yield batch_of(names + carried, types + [None for _ in carried], [b.column("doc_id"), *cols, *[b.column(c) for c in carried]])
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
-    rest = open_ones.select("doc_id", "text").join(hits, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(finish, schema)
-    done = staged.where("text is null").select(*names[:4], *[F.col("kept").alias("text")] * with_text)
+    schema = typed("doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
+    rest = open_ones.select("doc_id", "text", *carried).join(hits, "doc_id", "left").select("doc_id", "text", "gone", *carried).mapInArrow(finish, schema)
+    done = staged.where("text is null").select(*names[:4], *[F.col("kept").alias("text")] * with_text, *carried)
     return done.unionByName(rest)
 
 

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 
+import corpus_pipeline
 from breakfold.llm import quality
 
 
@@ -49,3 +50,31 @@ def test_quality_tells_texts_without_spaces_by_their_middle():
     labels = [k % 2 for k in range(80)]
     model = quality.fit([text(y) for y in labels], labels)
     assert ((quality.Scorer(model).score([text(y) for y in labels]) >= 0.5) == np.array(labels, bool)).all()
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(i, t, lang, source, len(t or "")) for i, t, lang, source in rows], DOCUMENTS)
+
+
+def test_exact_stage_keeps_one_row_of_each_group(spark):
+    rows = [(None, "only null", None, "s"), (None, "with id", "en", None), (3, "with  id", "en", None), (5, "r r", None, None), (5, "r r", None, None), (5, "r r", None, None)]
+    rows += [(5, "another of five", "en", "a"), (6, "another of  five", "en", "a"), (None, None, None, None), (None, "", "en", None), (None, "only null", None, "s"), (7, "rr", None, None)]
+    rows += [(8, "tie", "en", "x"), (8, "tie", "en", "y")]
+    for n in (1, 5):
+        out = [tuple(r) for r in corpus_pipeline.unique(spark, documents(spark, rows).repartition(n), "").collect()]
+        ties = [r for r in out if r[1] == "tie"]
+        empty = [r for r in out if not r[1]]
+        assert len(ties) == 1 and len(empty) == 1 and empty[0][0] is None
+        want = [(None, "only null", None, "s", 9), (3, "with  id", "en", None, 8), (5, "r r", None, None, 3), (6, "another of  five", "en", "a", 16)]
+        assert sorted((r for r in out if r not in ties + empty), key=str) == sorted(want, key=str)
+
+
+def test_substring_stage_keeps_every_row(spark):
+    long = " ".join(f"w{k}" for k in range(120))
+    rows = [(None, long, "en", None), (None, None, None, None), (None, "short", None, "s"), (1, long, "en", "a"), (2, "say " + long + " end", None, None), (2, "say " + long + " end", None, None), (2, "say " + long + " end", "de", "b"), (4, "x", None, None), (4, "x", None, None), (5, None, None, None)]
+    out = [tuple(r) for r in corpus_pipeline.without_repeats(spark, documents(spark, rows), "").collect()]
+    want = [(i, "say end" if i == 2 else t, a, b) for i, t, a, b in rows]
+    assert sorted(out, key=str) == sorted(((i, t, a, b, len(t or "")) for i, t, a, b in want), key=str)
