@@ -6,9 +6,11 @@ by the least weighted norm of the residual that would be left, or by the largest
 product of the piece and the residual.  Bins with equal residuals are one class, and classes
 are kept by residual tokens, so choosing is a walk over few classes and not over all bins.
 
-Packing is done inside each partition of the input.  Each partition holds thousands of
-documents, so at most one bin of it stays poorly filled; nothing is shuffled, and memory is
-bounded by the partition.
+Packing is global and knows only how many pieces there are of each length (at most one number
+for each length up to a bin's tokens).  Pieces of one length are alike, so bins that were filled alike
+are taken together, as ranges of numbers, and the plan grows with the number of lengths and not of
+pieces.  Pieces are numbered among those of their length: in each partition, from what the
+partitions before hold.  Only these rows are shuffled, never texts, and ids only where asked for.
 """
 
 from __future__ import annotations
@@ -19,11 +21,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import load_ranks
-from .common import batch_of, read_file, small_batches
+from .common import batch_of, cut, read_file, small_batches
 
 
 @dataclass(frozen=True)
@@ -48,55 +50,130 @@ class Weights:
     rule: str = "norm"  # or "dot"
 
 
-def pack(lengths: list[int], cap: Capacities = Capacities(), weights: Weights = Weights()) -> tuple[list[int], int]:
-    """The bin of each piece and the number of bins.  Ties go to the class with fewer free documents, then less free attention."""
+@dataclass(frozen=True)
+class Step:
+    """``bins`` bins from number ``first`` on get ``each`` pieces of one length from token ``at`` on; the pieces go by number from ``piece`` on."""
+
+    piece: int
+    first: int
+    bins: int
+    each: int
+    at: int
+
+
+def plan(counts: dict[int, int], cap: Capacities = Capacities(), weights: Weights = Weights()) -> tuple[dict[int, list[Step]], int]:
+    """For counts[length] pieces of each length: the steps of each length, by first piece, and the number of bins.
+
+    Bins are those of best fit taken piece by piece.  Ties go to the class with fewer free documents, then less free attention.
+    """
     cap.check()
     if weights.rule not in ("norm", "dot"):
         raise ValueError("rule must be norm or dot")
-    by_tokens: list[dict[tuple[int, int], list[int]]] = [{} for _ in range(cap.tokens + 1)]
+    # Classes of bins by free tokens, documents and attention: ranges (first, number) of bins.
+    by_tokens: list[dict[tuple[int, int], list[tuple[int, int]]]] = [{} for _ in range(cap.tokens + 1)]
     occupied = 0  # bit t is set if a bin with t free tokens exists
     wt, wd, wa = weights.tokens / cap.tokens**2, weights.documents / cap.documents**2, weights.attention / cap.attention**2
-    out, bins = [0] * len(lengths), 0
-    for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
-        size = lengths[k]
+    steps: dict[int, list[Step]] = {}
+    bins = 0
+
+    def score_of(t: int, d: int, a: int, size: int, cost: int) -> float:
+        if weights.rule == "norm":
+            return wt * (t - size) ** 2 + wd * (d - 1) ** 2 + wa * (a - cost) ** 2
+        return -(wt * size * t + wd * d + wa * cost * a)
+
+    for size in sorted(counts, reverse=True):
+        left, done, own = counts[size], 0, []
         if not 0 < size <= cap.tokens:
             raise ValueError(f"a piece of {size} tokens doesn't fit")
         cost = size * size
-        best, where = None, None
-        rest = occupied >> size
-        t = size
-        while rest:
-            step = (rest & -rest).bit_length() - 1
-            t += step
-            rest >>= step + 1
-            if weights.rule == "norm" and best is not None and wt * (t - size) ** 2 > best[0]:
-                break
-            for (d, a), _ in by_tokens[t].items():
-                if d < 1 or a < cost:
-                    continue
-                if weights.rule == "norm":
-                    score = wt * (t - size) ** 2 + wd * (d - 1) ** 2 + wa * (a - cost) ** 2
-                else:
-                    score = -(wt * size * t + wd * d + wa * cost * a)
-                if best is None or (score, d, a) < best:
-                    best, where = (score, d, a), (t, d, a)
-            t += 1
-        if where is None:
-            t, d, a, b = cap.tokens, cap.documents, cap.attention, bins
-            bins += 1
-        else:
-            t, d, a = where
-            group = by_tokens[t][d, a]
-            b = group.pop()
-            if not group:
-                del by_tokens[t][d, a]
-                if not by_tokens[t]:
-                    occupied &= ~(1 << t)
-        out[k] = b
-        if t > size and d > 1:
-            by_tokens[t - size].setdefault((d - 1, a - cost), []).append(b)
-            occupied |= 1 << (t - size)
-    return out, bins
+
+        def best_of(but: tuple[int, int, int] | None = None):
+            """The best class that holds a bin, as (score, free documents, free attention), and its free tokens."""
+            best, where = None, None
+            rest = occupied >> size
+            t = size
+            while rest:
+                step = (rest & -rest).bit_length() - 1
+                t += step
+                rest >>= step + 1
+                if weights.rule == "norm" and best is not None and wt * (t - size) ** 2 > best[0]:
+                    break
+                for d, a in by_tokens[t]:
+                    if d < 1 or a < cost or (t, d, a) == but:
+                        continue
+                    score = score_of(t, d, a, size, cost)
+                    if best is None or (score, d, a) < best:
+                        best, where = (score, d, a), t
+                t += 1
+            return best, where
+
+        while left:
+            best, where = best_of()
+            if where is None:
+                t, d, a, first, n = cap.tokens, cap.documents, cap.attention, bins, left
+            else:
+                t, (_, d, a) = where, best
+                first, n = by_tokens[t][d, a][-1]
+            # One bin of the class goes on getting pieces while it is itself the best choice.
+            rival = best_of((t, d, a))[0] if where is not None else None
+            same = None if where is None else (score_of(t, d, a, size, cost), d, a)
+            each, now = 1, (t - size, d - 1, a - cost)
+            while each < left and now[0] >= size and now[1] >= 1 and now[2] >= cost:
+                mine = (score_of(*now, size, cost), now[1], now[2])
+                if (rival is not None and rival < mine) or (same is not None and same < mine):
+                    break
+                each, now = each + 1, (now[0] - size, now[1] - 1, now[2] - cost)
+            n = min(n, max(1, left // each))
+            if where is None:
+                bins += n
+            else:
+                group = by_tokens[t][d, a]
+                f, m = group.pop()
+                if m > n:
+                    group.append((f + n, m - n))
+                if not group:
+                    del by_tokens[t][d, a]
+                    if not by_tokens[t]:
+                        occupied &= ~(1 << t)
+            own.append(Step(done, first, n, each, cap.tokens - t))
+            done, left = done + n * each, left - n * each
+            if now[0] > 0 and now[1] > 0:
+                by_tokens[now[0]].setdefault(now[1:], []).append((first, n))
+                occupied |= 1 << now[0]
+        steps[size] = own
+    return steps, bins
+
+
+class Dealer:
+    """Bins and offsets of numbered pieces by the steps of a plan."""
+
+    def __init__(self, steps: dict[int, list[Step]]):
+        self.steps = {n: np.array([(s.piece, s.first, s.bins, s.each, s.at) for s in own], np.int64).T for n, own in steps.items()}
+
+    def __call__(self, lengths: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        order = np.argsort(lengths, kind="stable")
+        sizes, starts = np.unique(lengths[order], return_index=True)
+        for size, at in zip(sizes.tolist(), np.split(order, starts[1:]), strict=True):
+            piece, first, _, each, offset = self.steps[size]
+            k = np.searchsorted(piece, numbers[at], "right") - 1
+            inside = numbers[at] - piece[k]
+            bins[at] = first[k] + inside // each[k]
+            offsets[at] = offset[k] + inside % each[k] * size
+        return bins, offsets
+
+
+def pack(lengths: list[int], cap: Capacities = Capacities(), weights: Weights = Weights()) -> tuple[list[int], int]:
+    """The bin of each piece and the number of bins."""
+    counts: dict[int, int] = {}
+    numbers = []
+    for n in lengths:
+        numbers.append(counts.get(n, 0))
+        counts[n] = numbers[-1] + 1
+    steps, bins = plan(counts, cap, weights)
+    if not lengths:
+        return [], 0
+    return Dealer(steps)(np.array(lengths, np.int64), np.array(numbers, np.int64))[0].tolist(), bins
 
 
 def piece_lengths(total: int, most: int) -> list[int]:
@@ -128,47 +205,58 @@ def pack_documents(docs: DataFrame, ranks: str, pattern: str, cap: Capacities =
     A document is its ids and then ``end_id``; only longer ones are cut, and their first piece may be shorter.
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for), a row per piece.
     Null and empty texts are documents of one token.  Repeated rows are packed like other rows.
-    An empty table gives an empty result.  sequence_id is the partition's number times 2^32 plus a number in it;
-    a task that runs again for a lost executor gives the same rows.
+    An empty table gives an empty result.  Sequences are numbered from 0 without gaps, and are as many however
+    the rows are dealt over partitions.
     """
     cap.check()
     spark = docs.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast((read_file(ranks), pattern))  # of fixed size
 
+    ids_too = with_ids * ", ids array<long>"
+
     def run(batches):
-        encoder, most = None, cap.tokens
-        head: list[tuple] = []
-        kept: list[np.ndarray] = []
+        encoder, most, part = None, cap.tokens, TaskContext.get().partitionId()
+        seen: dict[int, int] = {}  # pieces of each length so far: at most ``most`` numbers
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "number"]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
         for b in batches:
             encoder = encoder or token_encoder(*sent.value)
+            head: list[tuple] = []
+            kept: list[list[int]] = []
             ids_of = (encoder(t or "") for t in b.column("text").to_pylist())
             for doc, ids in zip(b.column("doc_id").to_pylist(), ids_of, strict=True):
                 ids.append(end_id)
                 whole = np.array(ids, "<u4")
                 at = 0
                 for piece, n in enumerate(piece_lengths(len(whole), most)):
-                    part = whole[at : at + n]
-                    head.append((doc, piece, at, n, zlib.crc32(part.tobytes())))
+                    head.append((doc, piece, at, n, zlib.crc32(whole[at : at + n].tobytes()), part, seen.get(n, 0)))
+                    seen[n] = head[-1][-1] + 1
                     if with_ids:
-                        kept.append(part)
+                        kept.append(ids[at : at + n])
                     at += n
-        if not head:
-            return
-        bins, _ = pack([h[3] for h in head], cap, weights)
-        base = TaskContext.get().partitionId() << 32
-        filled: dict[int, int] = {}
-        offsets = []
-        for b, h in zip(bins, head, strict=True):
-            offsets.append(filled.get(b, 0))
-            filled[b] = offsets[-1] + h[3]
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        cols = [*map(list, zip(*head, strict=True)), [base + b for b in bins], offsets]
-        for at in range(0, len(head), 10_000):
-            part = [c[at : at + 10_000] for c in cols]
-            more = ([[x.tolist() for x in kept[at : at + 10_000]]], ["ids"], [pa.list_(pa.int64())]) if with_ids else ([], [], [])
-            yield batch_of(names + more[1], types + more[2], part + more[0])
+            if head:
+                more = ([kept], ["ids"], [pa.list_(pa.int64())]) if with_ids else ([], [], [])
+                yield batch_of(names + more[1], types + more[2], [*map(list, zip(*head, strict=True)), *more[0]])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA + ", ids array<long>" * with_ids)
+    # Written, so that numbers stay whatever runs again.
+    pieces = cut(rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, number long" + ids_too))
+    held = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = cut(held.select("part", "length", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
+    counts = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # cap.tokens rows at most
+    steps = spark.sparkContext.broadcast(plan(counts, cap, weights)[0])
+
+    def deal(batches):
+        dealer = None
+        for b in batches:
+            dealer = dealer or Dealer(steps.value)
+            bins, offsets = dealer(b.column("length").to_numpy(), b.column("number").to_numpy())
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            more = ["ids"] * with_ids
+            yield batch_of([*names, "sequence_id", "offset", *more], [None] * 5 + [pa.int64(), pa.int64()] + [None] * with_ids, [*[b.column(c) for c in names], pa.array(bins), pa.array(offsets), *[b.column(c) for c in more]])
+
+    numbered = pieces.join(bases.select("part", "length", "base").hint("merge"), ["part", "length"])
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", (F.col("number") + F.col("base")).alias("number")] + ["ids"] * with_ids
+    return numbered.select(*names).mapInArrow(deal, SCHEMA + ids_too)

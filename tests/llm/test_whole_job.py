@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 
 import corpus_pipeline
-from breakfold.llm import quality
+from breakfold.llm import packing, quality
 
 
 def grams_by_scan(text, p):
@@ -78,3 +78,28 @@ def test_substring_stage_keeps_every_row(spark):
     out = [tuple(r) for r in corpus_pipeline.without_repeats(spark, documents(spark, rows), "").collect()]
     want = [(i, "say end" if i == 2 else t, a, b) for i, t, a, b in rows]
     assert sorted(out, key=str) == sorted(((i, t, a, b, len(t or "")) for i, t, a, b in want), key=str)
+
+
+def test_packing_fills_bins_from_all_partitions(spark):
+    import public_tokenizers
+
+    # 40 documents of 1,101 tokens, then 40 of 901: no two of the first, but one of each fit a sequence
+    docs = documents(spark, [(k, "word " * (1100 if k < 40 else 900), None, None) for k in range(80)])
+    for rows in (docs.coalesce(1), docs.repartitionByRange(2, "doc_id"), docs.repartition(7)):
+        out = packing.pack_documents(rows, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+        assert len(out) == 80 and {r.sequence_id for r in out} == set(range(40))
+        by = {}
+        for r in sorted(out, key=lambda r: r.offset):
+            assert r.offset == by.get(r.sequence_id, 0)
+            by[r.sequence_id] = r.offset + r.length
+        assert max(by.values()) <= 2048
+
+
+def test_packing_plan_does_not_grow_with_the_pieces():
+    counts = {n: 1_000_000 + 37 * n for n in range(1, 2049)}
+    steps, bins = packing.plan(counts)
+    assert sum(map(len, steps.values())) < 20_000
+    assert bins <= 1.01 * sum(n * k for n, k in counts.items()) / 2048
+    for n, own in steps.items():
+        assert [s.piece for s in own] == np.cumsum([0, *[s.bins * s.each for s in own]])[:-1].tolist()
+        assert sum(s.bins * s.each for s in own) == counts[n]
