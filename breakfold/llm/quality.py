@@ -207,7 +207,7 @@ def fit_sample(docs: DataFrame, labels: DataFrame, target: str, params: Params =
     chosen, size = [], 0
     for r in sizes:
         if size + r.n > params.most_bytes:
-            break
+            continue  # one very long text doesn't end the sample
         size += r.n
         chosen.append((r.id, r.y))
     if not chosen:

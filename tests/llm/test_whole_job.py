@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from breakfold.llm import packing, quality
@@ -103,3 +104,13 @@ def test_packing_plan_does_not_grow_with_the_pieces():
     for n, own in steps.items():
         assert [s.piece for s in own] == np.cumsum([0, *[s.bins * s.each for s in own]])[:-1].tolist()
         assert sum(s.bins * s.each for s in own) == counts[n]
+
+
+def test_quality_sample_goes_on_behind_a_text_that_does_not_fit(spark):
+    rows = [(k, "good words here" if k % 2 else "BAD!! BAD!!", None, None) for k in range(60)]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    first = docs.orderBy(F.xxhash64("doc_id")).first().doc_id
+    docs = docs.withColumn("text", F.when(F.col("doc_id") == first, F.expr("repeat('long ', 2000)")).otherwise(F.col("text")))
+    model = quality.fit_sample(docs, labels, "quality", quality.Params(most_bytes=5000))
+    assert quality.Scorer(model).score(["BAD!! BAD!!", "good words here"]).round().tolist() == [0, 1]
