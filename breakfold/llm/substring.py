@@ -124,6 +124,9 @@ def remove_repeats(batch: DataFrame, index: Index, history: DataFrame | None = N
     table gives an empty result.
     """
     spark, p = batch.sparkSession, index.params
+    old = index.read()
+    if old is not None and history is None:
+        raise ValueError("the index has runs: the documents that they were built from are needed as history")
     small_batches(spark)
     plain = lambda d: d.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = plain(batch)
@@ -143,7 +146,6 @@ def remove_repeats(batch: DataFrame, index: Index, history: DataFrame | None = N
     discard(digests)
     rows = marked.where("doc_id = rep").select("doc_id", F.explode("anchors").alias("anchor"))
     own = cut(rows.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
-    old = index.read()
     if old is None:
         shared = own.where("first < last").select("anchor")
     else:

@@ -4,10 +4,11 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from breakfold.llm import packing, quality
+from breakfold.llm import packing, quality, substring
 
 
 def grams_by_scan(text, p):
@@ -114,3 +115,13 @@ def test_quality_sample_goes_on_behind_a_text_that_does_not_fit(spark):
     docs = docs.withColumn("text", F.when(F.col("doc_id") == first, F.expr("repeat('long ', 2000)")).otherwise(F.col("text")))
     model = quality.fit_sample(docs, labels, "quality", quality.Params(most_bytes=5000))
     assert quality.Scorer(model).score(["BAD!! BAD!!", "good words here"]).round().tolist() == [0, 1]
+
+
+def test_substring_refuses_an_index_without_its_documents(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    one, two = (documents(spark, [(k, long, None, None)]) for k in (1, 2))
+    index = substring.Index(spark)
+    substring.remove_repeats(one, index).collect()
+    with pytest.raises(ValueError):
+        substring.remove_repeats(two, index)
+    assert [r.n_removed for r in substring.remove_repeats(two, index, one).collect()] == [60]
