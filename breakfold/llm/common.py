@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
 import tempfile
@@ -10,6 +11,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,20 +25,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set."""
+    """The shared folder that the session names; a temporary one only where none is set and driver and executors are one process."""
     if not spark.sparkContext.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
     return spark.sparkContext.getCheckpointDir()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Folders of intermediate tables by application, deleted when the driver ends: results are lazy, so the last tables must stay until then.
+_FOLDERS: dict[str, str] = {}
+
+
+def work_folder(spark: SparkSession) -> str:
+    """This application's folder of intermediate tables in the shared folder."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = f"{checkpoint_dir(spark)}/work-{app}"
+        atexit.register(_end, spark, _FOLDERS[app])
+    return _FOLDERS[app]
+
+
+def _end(spark: SparkSession, path: str) -> None:
+    try:
+        delete(spark, path)
+    except (Py4JError, OSError, AttributeError):
+        pass  # the session was stopped first; its shared folder is the cluster's to clean
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut: written as Parquet to the shared checkpoint folder and read again.
 
     Shuffle files of the jobs behind it aren't needed any more; a collection lets Spark's cleaner drop them.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
@@ -48,13 +78,17 @@ def cut(df: DataFrame) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes what ``cut`` wrote for tables that no later step reads."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df.cut_path)
+
 
+#: Bounds of an Arrow batch, the same for all operators: plans are lazy and read them when they run.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows: whole texts can be long, and a batch is held in memory at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of bounded rows and bytes: whole texts can be long, and a batch is held in memory at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def without_blanks(text: Column) -> Column:
@@ -77,19 +111,24 @@ def batch_of(names: list[str], types: list[pa.DataType], columns: list) -> pa.Re
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
+#: A pre-token that holds white space starts with it, so texts part before every run of white space that follows something else.
+_CHUNKS = regex.compile(r"\s*\S+|\s+").findall
+_ADJACENT = regex.compile(r" \s|\s ").search
+
+
 class ChunkEncoder:
-    """Token ids of texts through a memo of chunks that end before a single space.
-
-    Every pre-token of the byte-level pattern that holds a space and anything else starts
-    with that space.  So a text without adjacent white space may be cut before each of its
-    spaces, and the ids of the chunks in a row are the ids of the text.  Texts with adjacent
-    white space next to a space are one chunk.  ``encode`` takes distinct chunks and gives their
-    ids, chunk after chunk, and how many each has.
-    The memo is dropped when it holds ``most`` entries, so its memory is bounded.
+    """Token ids of texts through a memo of chunks that end before white space.
+
+    In the byte-level pattern white space stands only at the start of a pre-token or makes up
+    all of it.  So a text may be cut before each run of white space, and the ids of the chunks in a
+    row are the ids of the text.  Texts in which no space has white space beside it are cut at single spaces, which is faster
+    and as right; other white space stays inside chunks there.
+    The memo holds chunks of up to ``longest`` characters and is dropped when it holds ``most`` of them,
+    so its memory is bounded; longer chunks are encoded each time.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000, longest: int = 48):
+        self.encode, self.most, self.longest = encode, most, longest
         self.clear()
 
     def clear(self) -> None:
@@ -103,7 +142,7 @@ class ChunkEncoder:
         if not text:
             return []
         if _ADJACENT(text):
-            return [text]
+            return _CHUNKS(text)
         first, *rest = text.split(" ")
         return ([first] if first else []) + [" " + x for x in rest]
 
@@ -129,30 +168,28 @@ class ChunkEncoder:
             parts = [self.chunks(x) for x in texts[at : at + step]]
             if self.n >= self.most:
                 self.clear()
-            known = self.memo
+            known, longest = self.memo, self.longest
             new = list({c for p in parts for c in p if c not in known})
-            if new:
-                self._learn(new)
+            kept = [c for c in new if len(c) <= longest]
+            if kept:
+                self._learn(kept)
+            mark = self.n, self.end
+            long = [c for c in new if len(c) > longest]
+            if long:
+                self._learn(long)
             counts = [len(p) for p in parts]
             k = np.fromiter((known[c] for p in parts for c in p), np.int64, sum(counts))
             lens = self.len[k]
             ends = np.cumsum(lens)
             flat = self.ids[np.repeat(self.off[k] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
             bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
+            for c in long:  # learned last, for these texts only
+                del known[c]
+            self.n, self.end = mark
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 yield flat[a:b]
 
 
-def _adjacent():
-    import re
-
-    # \s in the pre-token pattern is Unicode white space, and so it is here; \x1c-\x1f count as white space only here, which is safe
-    return re.compile(r" \s|\s ").search
-
-
-_ADJACENT = _adjacent()
-
-
 def read_file(path: str) -> bytes:
     """A vocabulary file, read on the driver and sent to executors as bytes: its size is fixed."""
     with open(os.fspath(path), "rb") as f:

@@ -15,6 +15,7 @@ partitions before hold.  Only these rows are shuffled, never texts, and ids only
 
 from __future__ import annotations
 
+import json
 import zlib
 from dataclasses import dataclass
 
@@ -31,7 +32,8 @@ from .common import batch_of, cut, read_file, small_batches
 @dataclass(frozen=True)
 class Capacities:
     """Of a bin.  The defaults for documents and attention bind only where tokens do, as no
-    document is shorter than one token and a sum of squares is at most the square of the sum."""
+    document is shorter than one token and a sum of squares is at most the square of the sum: then
+    bins are as few as tokens allow.  Smaller ones bind by themselves."""
 
     tokens: int = 2048
     documents: int = 2048
@@ -184,26 +186,32 @@ def piece_lengths(total: int, most: int) -> list[int]:
     return [first] * (first > 0) + [most] * (total // most)
 
 
-def token_encoder(ranks_file: bytes, pattern: str):
-    """Ids of a text by the byte-level vocabulary given as ranks.
+def added_tokens(tokenizer_file: bytes) -> dict[str, int]:
+    """The added tokens of a tokenizer's JSON file: they are found in a text before anything else."""
+    return {t["content"]: t["id"] for t in json.loads(tokenizer_file).get("added_tokens", [])}
+
+
+def token_encoder(ranks_file: bytes, pattern: str, added: dict[str, int]):
+    """Ids of a text by the byte-level vocabulary given as ranks; strings of ``added`` in it are tokens of their own.
 
     The ids are those of the ``tokenizers`` library with the same vocabulary (tests hold them against
     each other), at several times its speed.
     """
     import tiktoken
 
-    enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(ranks_file), special_tokens={})
-    return enc.encode_ordinary
+    enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(ranks_file), special_tokens=added)
+    return lambda text: enc.encode(text, allowed_special="all", disallowed_special=())
 
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, ranks: str, pattern: str, cap: Capacities = Capacities(), weights: Weights = Weights(), end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, ranks: str, pattern: str, cap: Capacities = Capacities(), weights: Weights = Weights(), end_id: int = 0, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """All rows as pieces in sequences of at most cap.tokens tokens.
 
     A document is its ids and then ``end_id``; only longer ones are cut, and their first piece may be shorter.
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for), a row per piece.
+    ``tokenizer`` is the vocabulary's JSON file, whose added tokens count; without it there are none.
     Null and empty texts are documents of one token.  Repeated rows are packed like other rows.
     An empty table gives an empty result.  Sequences are numbered from 0 without gaps, and are as many however
     the rows are dealt over partitions.
@@ -211,7 +219,7 @@ def pack_documents(docs: DataFrame, ranks: str, pattern: str, cap: Capacities =
     cap.check()
     spark = docs.sparkSession
     small_batches(spark)
-    sent = spark.sparkContext.broadcast((read_file(ranks), pattern))  # of fixed size
+    sent = spark.sparkContext.broadcast((read_file(ranks), pattern, added_tokens(read_file(tokenizer)) if tokenizer else {}))  # of fixed size
 
     ids_too = with_ids * ", ids array<long>"
 

@@ -8,6 +8,10 @@ numpy, on a bounded sample of labelled rows.
 Only the difference of the two classes' outputs counts for the score, and it is linear in the
 average; so the model that scores is one number per hash bucket (the bucket's vector times the
 layer's difference), which is small and of fixed size.
+
+One feature goes beyond hashed words and n-grams: word bigrams whose two words are equal share one learned
+vector, whatever the word.  An average of words can't tell a text that says each new word many times over; with
+plain hashed bigrams in its place, a quarter of the held-out label-0 documents scored above 0.7 (README).
 """
 
 from __future__ import annotations

@@ -108,13 +108,29 @@ def test_bpe_is_tiktoken(spark, tok):
     assert bpe.encode_documents(frame(spark, []), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_texts_with_blank_lines_are_encoded_in_bounded_memory(tok):
+    import tiktoken
+
+    e = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tok.ranks, special_tokens={})
+    chunks = tok.chunk_encoder()
+    r = random.Random(8)
+    words = ["the", "na\u00efve", "x=1;", "\x1cq", "!\x1c", "\u3000", "\u00a0", "12", "'s"]
+    made = ["".join(r.choice(words) + r.choice([" ", "  ", "\n", "\n\n", " \n\n ", "\t", " \u2003"]) for _ in range(60)) + r.choice(["", "u" * 300, "  "]) for _ in range(3000)]
+    for text, ids in zip(made, chunks.texts(made), strict=True):
+        assert ids.tolist() == e.encode_ordinary(text)
+    # What is held are short chunks, of which texts share many, and neither whole texts nor their long words.
+    assert max(map(len, chunks.memo)) <= chunks.longest
+    assert sum(map(len, chunks.memo)) < sum(map(len, made)) / 5 and chunks.end < sum(map(len, made)) / 5
+
+
 def test_packing_ids_are_those_of_tokenizers(spark):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    encode = packing.token_encoder(packing.read_file(RANKS), public_tokenizers.PATTERN)
-    texts = strange_texts()
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    encode = packing.token_encoder(packing.read_file(RANKS), public_tokenizers.PATTERN, packing.added_tokens(packing.read_file(path)))
+    texts = [*strange_texts(), "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>y  <|endoftext|", "<|endoftext|>\n\n z"]
+    assert encode("a <|endoftext|> b") == [64, 220, 50256, 275]
     for text, enc in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
         assert encode(text) == enc.ids, repr(text)
 
@@ -138,6 +154,34 @@ def test_pack():
         packing.pack([1], packing.Capacities(attention=5))
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_bins_are_those_of_a_scan_under_every_capacity(rule):
+    """Each piece goes where the rule's score is best among all bins that hold it under three capacities."""
+    r = random.Random(12)
+    lengths = [r.choice([3, 5, 9, 17, 40, 41, 64]) for _ in range(400)]
+    cap, w = packing.Capacities(64, 6, 64 * 64), packing.Weights(0.5, 1.0, 2.0, rule)
+    bins: list[list[int]] = []
+
+    def score(b, n):
+        t, d, a = cap.tokens - sum(b), cap.documents - len(b), cap.attention - sum(x * x for x in b)
+        if t < n or d < 1 or a < n * n:
+            return None
+        wt, wd, wa = w.tokens / cap.tokens**2, w.documents / cap.documents**2, w.attention / cap.attention**2
+        value = wt * (t - n) ** 2 + wd * (d - 1) ** 2 + wa * (a - n * n) ** 2 if rule == "norm" else -(wt * n * t + wd * d + wa * n * n * a)
+        return value, d, a
+
+    for n in sorted(lengths, reverse=True):
+        fits = [(s, k) for k, b in enumerate(bins) if (s := score(b, n)) is not None]
+        if fits:
+            bins[min(fits)[1]].append(n)
+        else:
+            bins.append([n])
+    got, count = packing.pack(lengths, cap, w)
+    made = [sorted((n for n, b in zip(lengths, got, strict=True) if b == k), reverse=True) for k in range(count)]
+    assert sorted(made) == sorted(bins)
+    assert any(len(b) == cap.documents and sum(b) < cap.tokens for b in made)  # the number of documents binds
+
+
 def test_pack_documents(spark):
     rows = [*corpus(1), (900, "word " * 9000), (None, "no id"), (901, "word " * 2047)]
     out = packing.pack_documents(frame(spark, rows).repartition(2), RANKS, public_tokenizers.PATTERN, with_ids=True).collect()
