@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from breakfold.llm import exact, neardup, packing, quality, substring
-from breakfold.llm.common import checkpoint_dir, table
+from breakfold.llm.common import delete, table, work_folder
 
 #: Documents that score less are rejected.
 LEAST_QUALITY = 0.5
@@ -43,7 +43,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("quality classifier", good), ("exact dedup", unique), ("near dedup", distinct), ("substring dedup", without_repeats), ("best-fit packing", packed)]
@@ -55,10 +55,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents; what a stage returns is written to the shared checkpoint folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{work_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                delete(spark, f"{folder}/{k - 1}")
     return docs
