@@ -4,6 +4,7 @@ import json
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from breakfold.llm import ann, chat, html
@@ -90,20 +91,77 @@ def test_pages_without_marks_lose_what_their_host_repeats(spark):
     assert got == dict(enumerate(own)) | {50: line}
 
 
-def test_repeated_runs_are_those_of_a_scan():
+def test_counted_runs_are_those_of_a_scan():
     r = random.Random(3)
-    streams = [[r.randrange(3) for _ in range(r.randrange(0, 40))] for _ in range(9)]
-    for run, pages in ((3, 2), (5, 3), (1, 2)):
-        where = {}
-        for n, s in enumerate(streams):
-            for k in range(len(s) - run + 1):
-                where.setdefault(tuple(s[k : k + run]), set()).add(n)
-        for s, held in zip(streams, html.repeated(streams, run, pages), strict=True):
-            want = [False] * len(s)
-            for k in range(len(s) - run + 1):
-                if len(where[tuple(s[k : k + run])]) >= pages:
-                    want[k : k + run] = [True] * run
-            assert held.tolist() == want
+    streams = [np.array([r.randrange(3) for _ in range(r.randrange(0, 40))], np.uint64) for _ in range(30)]
+    hosts = [r.choice("abc") for _ in streams]
+    for run in (1, 3, 5, 8):
+        want: dict = {}
+        for name, s in zip(hosts, streams, strict=True):
+            one, two = html.run_hashes(s, run)
+            for key in set(zip(one.view(np.int64).tolist(), two.view(np.int64).tolist(), strict=True)):
+                want[name, *key] = want.get((name, *key), 0) + 1
+        # Counts of parts add up to those of the whole.
+        for parts in ([30], [7, 11, 12], [1] * 30):
+            got: dict = {}
+            at = 0
+            for n in parts:
+                for name, one, two, k in zip(*html.run_counts(streams[at : at + n], hosts[at : at + n], run), strict=True):
+                    got[name, one, two] = got.get((name, one, two), 0) + k
+                at += n
+            assert got == want
+    assert html.run_counts([], [], 8)[0] == [] and html.run_counts([np.zeros(2, np.uint64)], ["x"], 8)[0] == []
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 40])
+def test_short_and_empty_pages(spark, n):
+    rows = [(k, "http://h/", "<p>Hello world</p>") for k in range(n)] + [(100 + k, "http://z/", None) for k in range(3)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.text) for r in got) == [(k, "Hello world") for k in range(n)] + [(100 + k, "") for k in range(3)]
+
+
+def test_texts_do_not_depend_on_partitions(spark):
+    """Boilerplate of a large host, some of it on one page in a hundred only; whole copies keep their text."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    line = lambda k: " ".join(word() for _ in range(k))
+    menu, rare, copied = line(12), line(12), line(30)
+    rows, want = [], {}
+    for k in range(401):
+        own = line(25)
+        rows.append((k, "http://big.example/", f"<div>{menu}</div><p>{own}</p>" + f"<div>{rare}</div>" * (k % 100 == 0)))
+        want[k] = own
+    for k in range(401, 405):
+        rows.append((k, "http://big.example/", f"<div>{menu}</div><p>{copied}</p><!-- {k} -->"))
+        want[k] = copied
+    for parts in (1, 200):
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        got = {x.page_id: x.text for x in html.extract(df).collect()}
+        assert got == want
+
+
+def test_articles_lose_nothing_but_chrome(spark):
+    word = "<p>first words here</p>"
+    cases = [
+        ("<main><div class='section-header'><h2>Title</h2></div><p>x</p></main>", "Title\nx"),
+        ("<article><section class='related work'><p>others did so</p></section><p>x</p></article>", "others did so\nx"),
+        ("<article><p>so <math><mi>a</mi></math> is</p></article>", "so a is"),
+        *((f"<article>{word}<{e}>label<p>rest of it</p></article>", "first words here\nrest of it") for e in ("button", "select", "object", "svg")),
+        ("<article><p>a <button>press</button> b</p></article>", "a b"),
+        ("<article><p>x</p><section id='comments'><p>reader</p></section></article>", "x"),
+    ]
+    df = spark.createDataFrame([(k, f"http://h{k}/", f"<html><body>{x}</body></html>") for k, (x, _) in enumerate(cases)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extract(df).collect()} == dict(enumerate(t for _, t in cases))
+
+
+def test_repetition_decides_on_what_only_may_be_chrome(spark):
+    r = random.Random(9)
+    line = lambda k: " ".join("".join(r.choice("klmnopqrst") for _ in range(6)) for _ in range(k))
+    notice = line(15)
+    rows = [(k, "http://h/", f"<article><div class='page-header'>{notice}</div><p>{line(20)}</p></article>") for k in range(5)]
+    rows.append((9, "http://h/", f"<article><div class='page-header'>{line(15)}</div><p>own</p></article>"))
+    got = {x.page_id: x.text for x in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(notice not in got[k] and got[k] for k in range(5)) and got[9].count("\n") == 1
 
 
 SCHEMAS = {"search": {"properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}, "required": ["query"], "additionalProperties": False}}
