@@ -91,6 +91,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def with_least(rows: DataFrame, key: str, value: str, name: str, salts: int = 16) -> DataFrame:
+    """rows with the least ``value`` of their key as ``name``; rows of a hot key are dealt over ``salts`` tasks.
+
+    Nulls in key or value match nothing: such rows go.
+    """
+    rows = rows.withColumn("__s", F.pmod(F.xxhash64(value), F.lit(salts)).cast("int")).where(F.col(key).isNotNull() & F.col(value).isNotNull())
+    parts = rows.groupBy(key, "__s").agg(F.min(value).alias("__m"))
+    whole = parts.groupBy(key).agg(F.min("__m").alias(name), F.expr("bit_or(shiftleft(1L, __s))").alias("__p"))
+    spread = whole.select(key, name, F.explode(F.expr(f"filter(sequence(0, {salts - 1}), b -> (shiftright(__p, b) & 1) = 1)")).alias("__s"))
+    return rows.join(spread, [key, "__s"]).drop("__s")
+
+
 def without_blanks(text: Column) -> Column:
     """text less every character of BLANKS; plain replacements are cheaper than one regular expression."""
     for c in BLANKS:

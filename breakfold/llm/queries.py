@@ -32,7 +32,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.remove_repeats(table(spark, sf_dir, "documents"), substring.Index(spark))
+    return substring.ingest(table(spark, sf_dir, "documents"), substring.Index(spark))
 
 
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

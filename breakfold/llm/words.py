@@ -17,18 +17,36 @@ def words(text: str | None, lower: bool = False) -> list[bytes]:
 
 
 class WordHashes:
-    """64-bit hashes of words through a memo of bounded size."""
+    """64-bit hashes of words through a memo of bounded size; ``both`` gives two halves of a 128-bit hash."""
 
     def __init__(self, most: int = 500_000):
         self.memo, self.most = {}, most
+        self.parts = np.zeros((2, 0), U)
 
-    def __call__(self, found: list[bytes]) -> np.ndarray:
+    def _places(self, found: list[bytes]) -> np.ndarray:
         memo = self.memo
         if len(memo) > self.most:
             memo.clear()
-        for w in set(found).difference(memo):
-            memo[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(memo.__getitem__, found), U, len(found))
+            self.parts = self.parts[:, :0]
+        new = list(set(found).difference(memo))
+        if new:
+            at = len(memo)
+            if at + len(new) > self.parts.shape[1]:
+                grown = np.zeros((2, 2 * (at + len(new))), U)
+                grown[:, :at] = self.parts[:, :at]
+                self.parts = grown
+            raw = b"".join(map(xxhash.xxh3_128_digest, new))
+            self.parts[:, at : at + len(new)] = np.frombuffer(raw, ">u8").reshape(-1, 2).T[::-1]
+            memo.update(zip(new, range(at, at + len(new)), strict=True))
+        return np.fromiter(map(memo.__getitem__, found), np.int64, len(found))
+
+    def __call__(self, found: list[bytes]) -> np.ndarray:
+        at = self._places(found)  # may replace parts
+        return self.parts[0][at]
+
+    def both(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        at = self._places(found)
+        return self.parts[0][at], self.parts[1][at]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

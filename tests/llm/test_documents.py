@@ -224,24 +224,52 @@ def test_substring(spark, width):
     got = {r[0]: tuple(r[1:]) for r in substring.remove_repeats(frame(spark, rows), substring.Index(spark, p)).collect()}
     assert got == want
     assert any(x[1] for x in want.values())
-    if width == 50:
-        index, got, past = substring.Index(spark, p), {}, None
-        for lo, hi in ((0, 20), (20, 45), (45, 99)):
-            part = frame(spark, [x for x in rows if lo <= x[0] < hi])
-            got |= {r[0]: tuple(r[1:]) for r in substring.remove_repeats(part, index, past).collect()}
-            past = part if past is None else past.unionByName(part)
-        assert got == want
-        assert [len(x) for x in index.levels] == [1, 1]
+    index, got = substring.Index(spark, p), {}
+    for lo, hi in ((0, 20), (20, 45), (45, 99)):
+        part = frame(spark, [x for x in rows if lo <= x[0] < hi])
+        got |= {r[0]: tuple(r[1:]) for r in substring.remove_repeats(part, index).collect()}
+    assert got == want
+    assert [len(x) for x in index.levels["anchors"]] == [1, 1] and index.compacted == 2
+    index.close()
+
+
+def test_substring_meets_history_in_the_runs(spark):
+    """Later batches need no earlier documents, and an earlier text is read again for an anchor that becomes shared, and only then."""
+    r = random.Random(6)
+    line = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    passage, fifty = line(60), line(50)
+    rows = [(k, f"{line(30)} {passage if k % 3 == 0 else line(10)} {line(30)} {fifty if k in (2, 7, 23) else ''}") for k in range(24)]
+    index, got = substring.Index(spark), {}
+    for lo in range(0, 24, 4):
+        out = substring.remove_repeats(frame(spark, rows[lo : lo + 4]), index)
+        got |= {x[0]: tuple(x[1:]) for x in out.collect()}
+    assert got == removed_by_scan(rows, 50)
+    assert got[7][1] == 50 and got[23][1] == 50 and got[9][1] == 60
+    out = substring.ingest(frame(spark, rows[::-1]).repartition(3), substring.Index(spark))
+    assert {x[0]: tuple(x[1:]) for x in out.collect()} == got
+
+
+def test_runs_are_joined_without_shuffling_them(spark):
+    index = substring.Index(spark)
+    for n in (1, 2):
+        index.write("anchors", spark.range(50).selectExpr("id * 7 as anchor", f"id + {n} as first", "id as last"))
+    one, two = index.runs("anchors")
+    plan = substring._with_older(one, [two], ["anchor"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
 
 
 def test_substring_edges(spark):
     def run(rows, **kw):
         return sorted((tuple(r) for r in substring.remove_repeats(frame(spark, rows), substring.Index(spark), **kw).collect()), key=str)
 
-    assert run([]) == []
+    assert run([]) == [] and substring.ingest(frame(spark, []), substring.Index(spark)).collect() == []
     long = " ".join(f"w{k}" for k in range(120))
     out = run([(None, long), (1, long), (2, long + " end"), (3, None)], with_text=True)
     assert {(r[0], r[1], r[2], r[4]) for r in out} == {(None, 120, 0, long), (1, 120, 0, long), (2, 121, 120, "end"), (3, 0, 0, None)}
+    # rows of one id have the results of their own texts
+    other = " ".join(f"x{k}" for k in range(70))
+    out = run([(1, long), (5, long), (5, other), (5, other), (7, other + " " + long)])
+    assert [(r[0], r[1], r[2]) for r in out] == [(1, 120, 0), (5, 120, 120), (5, 70, 0), (5, 70, 0), (7, 190, 190)]
 
 
 def sets_of(rows, n):
