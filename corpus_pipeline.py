@@ -36,7 +36,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts less the passages of 50 words or more that a document with a smaller id has; a text that keeps all its words stays as it was."""
-    left = substring.remove_repeats(docs, substring.Index(spark), with_text=True, with_row=True)
+    left = substring.ingest(docs, substring.Index(spark), with_text=True, with_row=True)
     n = F.length(F.coalesce("text", F.lit(""))).cast("long")
     made = {"text": F.col("text"), "n_chars": n}
     return left.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
