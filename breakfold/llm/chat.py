@@ -2,23 +2,35 @@
 
 Messages are rows (conversation, turn, role, text).  A call is a message whose text is a JSON object
 with ``tool_call_id`` and ``name`` (and ``arguments``); a result is one of role ``tool`` whose text is
-a JSON object with ``tool_call_id``.  Calls and results meet in a hash join by (conversation, identifier).
+a JSON object with ``tool_call_id``.  Calls and results meet in a hash join by (conversation, identifier); an identifier
+with many rows is dealt over salts, which are merged first.
 
 The canonical order is topological: every message after those it depends on, which are the call of a
 result and the messages of earlier turns.  Results that come before their call are moved right
-behind it.  This is a sort by (turn of the call or own turn, call before result, own turn), so no
-conversation is walked row by row.
+behind it.  A call depends on no result, so this is a sort by (turn of the call or own turn, call before result, own
+turn), and no conversation is walked row by row.  Positions are counted in spans of turns and moved on by
+the spans before, so a long conversation is neither in one task nor gathered into one value.
 
-Long conversations are never gathered into one value: the output is a row per message, with its position.
+JSON is read into typed values (variants), validated at every level and written with sorted names at every level.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Argument types of JSON schemas and the first characters that their JSON values can have.
-TYPES = {"string": '^"', "integer": "^-?[0-9]+$", "number": "^-?[0-9]", "boolean": "^(true|false)$", "object": "^\\{", "array": "^\\[", "null": "^null$"}
+#: JSON schema types and what the type of a value looks like.
+TYPES = {
+    "string": "^STRING$",
+    "integer": r"^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL\(\d+,0\))$",
+    "number": "^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)",
+    "boolean": "^BOOLEAN$",
+    "object": "^OBJECT",
+    "array": "^ARRAY",
+    "null": "^VOID$",
+}
 
 
 def json_string(c: Column) -> Column:
@@ -31,91 +43,129 @@ def json_string(c: Column) -> Column:
     return F.concat(F.lit('"'), c, F.lit('"'))
 
 
-def canonical_map(m: Column) -> Column:
-    """A map of names to JSON values as a JSON object with sorted names and no blanks."""
-    entries = F.array_sort(F.map_entries(m))
-    return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(json_string(e["key"]), F.lit(":"), e["value"])), ","), F.lit("}"))
+def _plain_json(value) -> str:
+    """A schema's constant as canonical JSON."""
+    if isinstance(value, float) and value.is_integer():
+        value = int(value)
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
-def argument_errors(arguments: Column, name: Column, schemas: dict[str, dict]) -> Column:
-    """What in the arguments (a map of names to JSON values) breaks the tool's schema: an array of strings, empty if nothing.
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def schema_errors(value: Column, schema: dict, path: str = "") -> Column:
+    """What in a JSON value (a variant) breaks the schema: an array of strings, empty if nothing.
 
-    A schema has ``properties`` (name to {"type": ...}), ``required`` (names) and ``additionalProperties`` (True unless given).
+    Known are ``type`` (a name or a list of names), ``enum``, ``const``, ``minimum``, ``maximum``, ``properties``,
+    ``required``, ``additionalProperties`` (true unless given as false) and ``items``, at every level.
     """
-    none = F.array().cast("array<string>")
-    out = F.array(F.concat(F.lit("unknown tool "), name))
-    for tool, schema in sorted(schemas.items()):
-        props, parts = schema.get("properties", {}), []
-        for key in sorted(schema.get("required", [])):
-            parts.append(F.when(~F.coalesce(F.map_contains_key(arguments, F.lit(key)), F.lit(False)), F.array(F.lit(f"missing {key}"))).otherwise(none))
+    kind = F.schema_of_variant(value)
+    types = schema.get("type", [])
+    types = [types] if isinstance(types, str) else types
+    if unknown := [t for t in types if t not in TYPES]:
+        raise ValueError(f"unknown types {unknown}")
+    ok = F.lit(True)
+    if types:
+        ok = kind.rlike("|".join(TYPES[t] for t in types))
+    allowed = [*schema.get("enum", []), *([schema["const"]] if "const" in schema else [])]
+    if allowed:
+        ok = ok & F.to_json(value).isin([_plain_json(v) for v in allowed])
+    for rule, sign in (("minimum", 1), ("maximum", -1)):
+        if rule in schema:
+            number = F.try_variant_get(value, "$", "double")
+            ok = ok & (~kind.rlike(TYPES["number"]) | (sign * number >= sign * schema[rule]))
+    at = path or "arguments"
+    parts = [F.when(~ok, F.array(F.lit(f"bad {at}"))).otherwise(_none())]
+    below = f"{path}." if path else ""
+    props, required = schema.get("properties", {}), schema.get("required", [])
+    if props or required or not schema.get("additionalProperties", True):
+        fields = F.try_variant_get(value, "$", "map<string,variant>")
+        inside = []
+        for key in sorted(required):
+            inside.append(F.when(~F.map_contains_key(fields, F.lit(key)), F.array(F.lit(f"missing {below}{key}"))).otherwise(_none()))
         for key, rule in sorted(props.items()):
-            value = F.try_element_at(arguments, F.lit(key))
-            ok = value.rlike(TYPES[rule["type"]]) if rule.get("type") in TYPES else F.lit(True)
-            if "enum" in rule:
-                ok = ok & value.isin([f'"{v}"' if isinstance(v, str) else str(v) for v in rule["enum"]])
-            parts.append(F.when(value.isNotNull() & ~ok, F.array(F.lit(f"bad {key}"))).otherwise(none))
+            child = F.try_element_at(fields, F.lit(key))
+            inside.append(F.when(F.map_contains_key(fields, F.lit(key)), schema_errors(child, rule, f"{below}{key}")).otherwise(_none()))
         if not schema.get("additionalProperties", True):
-            extra = F.filter(F.array_sort(F.map_keys(arguments)), lambda k: ~k.isin(list(props)) if props else F.lit(True))
-            parts.append(F.coalesce(F.transform(extra, lambda k: F.concat(F.lit("extra "), k)), none))
-        out = F.when(name == tool, F.concat(*parts) if parts else none).otherwise(out)
+            extra = F.array_sort(F.map_keys(fields))
+            extra = F.filter(extra, lambda k: ~k.isin(list(props))) if props else extra
+            inside.append(F.transform(extra, lambda k: F.concat(F.lit(f"extra {below}"), k)))
+        parts.append(F.when(fields.isNotNull(), F.concat(*inside)).otherwise(_none()))
+    if "items" in schema:
+        each = F.try_variant_get(value, "$", "array<variant>")
+        parts.append(F.coalesce(F.flatten(F.transform(each, lambda x: schema_errors(x, schema["items"], f"{path}[]"))), _none()))
+    return F.concat(*parts)
+
+
+def argument_errors(arguments: Column, name: Column, schemas: dict[str, dict]) -> Column:
+    """What in a call's arguments (a variant) breaks its tool's schema; tools have objects as arguments."""
+    out = F.array(F.concat(F.lit("unknown tool "), name))
+    for tool, schema in sorted(schemas.items()):
+        out = F.when(name == tool, schema_errors(arguments, {"type": "object"} | schema)).otherwise(out)
     return out
 
 
 def format_chat(
-    messages: DataFrame, schemas: dict[str, dict] | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
+    messages: DataFrame, schemas: dict[str, dict] | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", salts: int = 16, span: int = 256
 ) -> DataFrame:
-    """A row per message: conv_id, turn, role, kind, tool_call_id, linked, order_turn, order_rank, valid, errors, message.
+    """A row per message: conv_id, position, turn, role, kind, tool_call_id, linked, order_turn, order_rank, valid, errors, message.
 
     kind: ``call``, ``result`` or ``text``.  linked: a result whose call is in the conversation, or a call with a result.
-    The place in the conversation is by (order_turn, order_rank, turn, message): order_turn is the call's turn
+    position counts a conversation's messages from 0 by (order_turn, order_rank, turn, message): order_turn is the call's turn
     for a linked result, order_rank 1 for it and 0 for others.  valid is false for calls that break
     their tool's schema and for results without a call; errors says why (joined by "; ").
-    message is canonical JSON: sorted names, no blanks, whole text.
+    message is canonical JSON: sorted names, no blanks, whole text; arguments are kept whatever they are, and are {} if there are none.
 
     Null roles count as ``unknown``, null texts as empty; null conversations or turns stay as they are and link
-    to nothing.  Of several calls with one identifier the one of the smallest turn counts.  Repeated rows stay.
-    Text that isn't such JSON is plain text.  An empty table gives an empty result.
+    to nothing.  Of several calls with one identifier the one of the smallest turn counts.  Repeated rows stay, next to
+    each other.  Text that isn't such JSON, or has a name twice in an object, is plain text.  An empty table gives an empty result.
     """
-    fields = "tool_call_id string, name string, arguments map<string, string>"
     m = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    jsonish = F.ltrim("text").startswith("{")
-    m = m.withColumn("id", F.when(jsonish, F.get_json_object("text", "$.tool_call_id"))).withColumn("name", F.when(F.col("id").isNotNull(), F.get_json_object("text", "$.name")))
+    m = m.withColumn("v", F.when(F.ltrim("text").startswith("{"), F.try_parse_json("text")))
+    scalar = lambda at: F.when(F.schema_of_variant(F.try_variant_get("v", at, "variant")).rlike("^(STRING|BIGINT|DECIMAL)"), F.try_variant_get("v", at, "string"))
+    m = m.withColumns({"id": scalar("$.tool_call_id"), "name": scalar("$.name")})
     kind = F.when(F.col("id").isNull(), "text").when(F.col("role") == "tool", "result").when(F.col("name").isNotNull(), "call").otherwise("text")
     m = m.withColumn("kind", kind).withColumn("id", F.when(F.col("kind") != "text", F.col("id")))
-    # Values stay JSON: a map of strings would lose the quotes, so each value is taken by its name.
-    names = F.from_json(F.get_json_object("text", "$.arguments"), "map<string, string>")
-    raw = F.transform_values(names, lambda k, v: _raw_value(F.get_json_object("text", "$.arguments"), k, v))
-    m = m.withColumn("arguments", F.when(F.col("kind") == "call", F.coalesce(raw, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))))
-    calls = m.where("kind = 'call' and conv_id is not null and turn is not null").groupBy("conv_id", "id").agg(F.min("turn").alias("call_turn"))
-    results = m.where("kind = 'result' and conv_id is not null and turn is not null").groupBy("conv_id", "id").agg(F.count(F.lit(1)).alias("n_results"))
-    # Only calls and results go through the joins; a message of plain text has nothing to link.
-    linkable = m.where("kind <> 'text'").join(calls, ["conv_id", "id"], "left").join(results, ["conv_id", "id"], "left")
-    plain = m.where("kind = 'text'").withColumn("call_turn", F.lit(None).cast("long")).withColumn("n_results", F.lit(None).cast("long"))
-    m = linkable.select(*plain.columns).unionByName(plain)
     result, call = F.col("kind") == "result", F.col("kind") == "call"
-    follows = result & F.col("call_turn").isNotNull()
-    errors = F.when(call, argument_errors(F.col("arguments"), F.col("name"), schemas or {})).when(result & F.col("call_turn").isNull(), F.array(F.lit("no call"))).otherwise(F.array().cast("array<string>"))
+    m = m.withColumn("v", F.when(call, F.coalesce(F.try_variant_get("v", "$.arguments", "variant"), F.parse_json(F.lit("{}")))))
+    s = json_string
     body = (
-        F.when(call, F.concat(F.lit('{"arguments":'), canonical_map(F.col("arguments")), F.lit(',"name":'), json_string(F.col("name")), F.lit(',"role":'), json_string(F.col("role")), F.lit(',"tool_call_id":'), json_string(F.col("id")), F.lit("}")))
-        .when(result, F.concat(F.lit('{"content":'), json_string(F.col("text")), F.lit(',"role":'), json_string(F.col("role")), F.lit(',"tool_call_id":'), json_string(F.col("id")), F.lit("}")))
-        .otherwise(F.concat(F.lit('{"content":'), json_string(F.col("text")), F.lit(',"role":'), json_string(F.col("role")), F.lit("}")))
+        F.when(call, F.concat(F.lit('{"arguments":'), F.to_json("v"), F.lit(',"name":'), s(F.col("name")), F.lit(',"role":'), s(F.col("role")), F.lit(',"tool_call_id":'), s(F.col("id")), F.lit("}")))
+        .when(result, F.concat(F.lit('{"content":'), s(F.col("text")), F.lit(',"role":'), s(F.col("role")), F.lit(',"tool_call_id":'), s(F.col("id")), F.lit("}")))
+        .otherwise(F.concat(F.lit('{"content":'), s(F.col("text")), F.lit(',"role":'), s(F.col("role")), F.lit("}")))
     )
+    broken = F.when(call, argument_errors(F.col("v"), F.col("name"), schemas or {})).otherwise(_none())
+    m = m.select("conv_id", "turn", "role", "kind", "id", broken.alias("broken"), body.alias("message"), F.pmod(F.xxhash64("turn", "kind"), F.lit(salts)).cast("int").alias("salt"))
+    # Only calls and results go through the join; a message of plain text has nothing to link.
+    key = ["conv_id", "id"]
+    can = m.where("kind <> 'text' and conv_id is not null and turn is not null")
+    parts = can.groupBy(*key, "salt").agg(F.min(F.when(call, F.col("turn"))).alias("call_turn"), F.count(F.when(result, 1)).alias("n_results"))
+    whole = parts.groupBy(*key).agg(F.min("call_turn").alias("call_turn"), F.sum("n_results").alias("n_results"), F.expr("bit_or(shiftleft(1L, salt))").alias("present"))
+    spread = whole.withColumn("salt", F.explode(F.expr(f"filter(sequence(0, {salts - 1}), b -> (shiftright(present, b) & 1) = 1)"))).drop("present")
+    linked = can.join(spread.hint("shuffle_hash"), [*key, "salt"])
+    rest = m.where("kind = 'text' or conv_id is null or turn is null").withColumns({"call_turn": F.lit(None).cast("long"), "n_results": F.lit(0).cast("long")})
+    m = linked.select(*rest.columns).unionByName(rest)
+    follows = result & F.col("call_turn").isNotNull()
+    m = m.withColumns({"order_turn": F.when(follows, F.col("call_turn")).otherwise(F.col("turn")), "order_rank": F.when(follows, 1).otherwise(0)})
+    m = m.withColumn("span", F.floor(F.col("order_turn") / span))
+    own = Window.partitionBy("conv_id", "span").orderBy("order_turn", "order_rank", "turn", "message")
+    sizes = m.groupBy("conv_id", "span").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
+    bases = sizes.select(F.col("conv_id").alias("c"), F.col("span").alias("p"), F.coalesce(before, F.lit(0)).alias("base"))
+    m = m.withColumn("n", F.row_number().over(own)).join(bases.hint("merge"), F.col("conv_id").eqNullSafe(F.col("c")) & F.col("span").eqNullSafe(F.col("p")))
+    errors = F.when(call, F.col("broken")).when(result & F.col("call_turn").isNull(), F.array(F.lit("no call"))).otherwise(_none())
     return m.select(
         "conv_id",
+        (F.col("base") + F.col("n") - 1).alias("position"),
         "turn",
         "role",
         "kind",
         F.col("id").alias("tool_call_id"),
-        F.coalesce(F.when(result, F.col("call_turn").isNotNull()).when(call, F.col("n_results").isNotNull()), F.lit(False)).alias("linked"),
-        F.when(follows, F.col("call_turn")).otherwise(F.col("turn")).alias("order_turn"),
-        F.when(follows, 1).otherwise(0).alias("order_rank"),
+        F.coalesce(F.when(result, F.col("call_turn").isNotNull()).when(call, F.col("n_results") > 0), F.lit(False)).alias("linked"),
+        "order_turn",
+        "order_rank",
         (F.size(errors) == 0).alias("valid"),
         F.array_join(errors, "; ").alias("errors"),
-        body.alias("message"),
+        "message",
     )
-
-
-def _raw_value(arguments: Column, key: Column, value: Column) -> Column:
-    """A value's JSON text.  Strings are told from numbers and the like by the quote that follows their name."""
-    quoted = F.concat(F.lit('"'), F.replace(F.replace(key, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('":"'))
-    return F.when(value.isNull(), F.lit("null")).when(F.contains(arguments, quoted), json_string(value)).otherwise(value)

@@ -205,7 +205,49 @@ def test_chat(spark):
     assert chat.format_chat(df.unionByName(df), SCHEMAS).count() == 2 * len(rows)
 
 
+    assert sorted(r.position for r in out if r.conv_id == 1) == list(range(6))
+    assert [r.turn for r in sorted((r for r in out if r.conv_id == 1), key=lambda r: r.position)] == order
+
+
+def test_chat_arguments_are_read_as_typed_values(spark):
+    schemas = {"f": {"properties": {"limit": {"type": ["integer", "null"]}, "filter": {"type": "object", "properties": {"limit": {"type": "string"}, "tags": {"type": "array", "items": {"type": "string"}}}, "required": ["limit"], "additionalProperties": False}}}}
+    raw = [
+        '{"query":"q","filter":{"limit":"x","tags":["a","b"]},"limit":5}',
+        '{"z":{"b":1,"a":{"d":[{"y":1,"x":null}],"c":1.5}},"a":"\\u00e9/"}',
+        '"not an object"',
+        '{"filter":{"tags":["a",1],"more":{}},"limit":null}',
+        '{"filter":{"limit":1},"limit":1.5}',
+        "[1, 2]",
+        None,
+    ]
+    texts = ['{"tool_call_id":%d,"name":"f"%s}' % (k, f',"arguments":{a}' if a else "") for k, a in enumerate(raw)]
+    texts += ['{"tool_call_id":"c","tool_call_id":"d","name":"f"}', '{"tool_call_id":"c","name":"f"', '{"tool_call_id":{"a":1},"name":"f"}']
+    rows = [(1, k, "assistant", t) for k, t in enumerate(texts)]
+    got = {r.turn: r for r in chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), schemas).collect()}
+    args = lambda k: json.dumps(json.loads(got[k].message)["arguments"], sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    for k, a in enumerate(raw):
+        assert args(k) == (json.dumps(json.loads(a), sort_keys=True, separators=(",", ":"), ensure_ascii=False) if a else "{}")
+        assert got[k].message.startswith('{"arguments":' + args(k) + ',"name":"f"') and got[k].tool_call_id == str(k)
+    assert [got[k].errors for k in range(7)] == ["", "", "bad arguments", "missing filter.limit; bad filter.tags[]; extra filter.more", "bad filter.limit; bad limit", "bad arguments", ""]
+    assert [got[k].kind for k in (7, 8, 9)] == ["text"] * 3 and got[7].message == json.dumps({"content": texts[7], "role": "assistant"}, separators=(",", ":"))
+
+
+def test_chat_links_one_identifier_of_many_rows(spark):
+    """Repeated rows, ties and one identifier on most rows; the order is that of a sort."""
+    r = random.Random(2)
+    rows = [(1, r.randrange(600), "tool", json.dumps({"tool_call_id": "hot", "n": r.randrange(5)})) for _ in range(300)]
+    rows += [(1, 400, "assistant", call("hot", query="q")), (1, 300, "assistant", call("hot", query="p")), (2, 5, "tool", json.dumps({"tool_call_id": "hot"}))]
+    rows += [(1, k, "user", "x") for k in range(0, 600, 3)] * 2
+    out = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7), SCHEMAS).collect()
+    assert len(out) == len(rows) and all(x.linked == (x.kind != "text") for x in out if x.conv_id == 1)
+    one = [x for x in out if x.conv_id == 1]
+    assert sorted(x.position for x in one) == list(range(len(one)))
+    at = sorted(one, key=lambda x: x.position)
+    assert [(x.order_turn, x.order_rank, x.turn, x.message) for x in at] == sorted((300 if x.kind == "result" else x.turn, int(x.kind == "result"), x.turn, x.message) for x in one)
+
+
 def test_chat_stays_in_the_jvm(spark):
     df = spark.createDataFrame([(1, 1, "user", "x")], "conv_id long, turn long, role string, text string")
     plan = chat.format_chat(df.where(F.col("turn") > 0), SCHEMAS)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    assert "ShuffledHashJoin" in plan
