@@ -21,7 +21,7 @@ Q = ["qid", "chrA", "chrB", "posA", "posB", "event_type"]
 
 def _pairs(query: DataFrame, db: DataFrame, distance: int, keys: list[str], extra: list[str], residual: Column) -> DataFrame:
     right = db.select(*[c for c in ("chrA", "chrB", "event_type") if c in keys], F.col("posA").alias("dA"), F.col("posB").alias("dB"), *extra)
-    return band_join(query.select(*Q), right, keys, "posA", "dA", distance, "inner", residual)
+    return band_join(query.select(*Q), right, keys, "posA", "dA", distance, "inner", residual, "posB", "dB")
 
 
 def _cols():

@@ -7,26 +7,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PART = ["var", "chrA", "chrB"]
-
+from breakfold.operators.staging import in_chunks, running_count
 
-def _core(pos: Column, w, m: int, epsilon: Column | float) -> Column:
-    return F.coalesce(F.lead(pos, m - 1).over(w) - pos < epsilon, F.lit(False))
+PART = ["var", "chrA", "chrB"]
 
 
-def run_labels(df: DataFrame, part: list[str], order: list, pos: str, epsilon, min_pts: int, label: str) -> DataFrame:
+def run_labels(df: DataFrame, part: list[str], order: list[str], pos: str, epsilon, min_pts: int, label: str, chunk: int = 1 << 16) -> DataFrame:
     """df with a run number (from 1 in each part), null for noise.
 
     A row is core if the row min_pts - 1 further on is nearer than epsilon; consecutive cores are a run,
     and a run's last core takes the min_pts - 1 rows behind it along.  Where two runs claim a row the later wins.
+
+    Rows are counted through and taken in chunks that overlap by what a label depends on, so a part's size is no matter.
     """
     if min_pts < 2:
         raise ValueError("min_pts must be 2 or more")
-    w = Window.partitionBy(*part).orderBy(*order)
-    out = df.withColumn("__core", _core(F.col(pos), w, min_pts, epsilon))
-    out = out.withColumn("__new", F.when(F.col("__core") & ~F.coalesce(F.lag("__core").over(w), F.lit(False)), 1).otherwise(0))
-    out = out.withColumn("__run", F.when(F.col("__core"), F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    return out.withColumn(label, F.last("__run", ignorenulls=True).over(w.rowsBetween(-(min_pts - 1), 0)).cast("long")).drop("__core", "__new", "__run")
+    # A row's label depends on cores up to min_pts - 1 rows before it, these on the row before and on min_pts - 1 behind.
+    out = in_chunks(df, part, order, 2 * min_pts, chunk)
+    w = Window.partitionBy("__chunk", *part).orderBy("__n")
+    far = F.lead(pos, min_pts - 1).over(w)
+    out = out.withColumn("__core", F.coalesce(far - F.col(pos) < epsilon, F.lit(False)))
+    out = out.withColumn("__new", F.col("__core") & ~F.coalesce(F.lag("__core").over(w), F.lit(False)))
+    out = running_count(out, part, "__new", "__count").withColumn("__run", F.when(F.col("__core"), F.col("__count")))
+    out = out.withColumn(label, F.last("__run", ignorenulls=True).over(w.rowsBetween(-(min_pts - 1), 0)).cast("long"))
+    return out.where("__home").drop("__core", "__new", "__run", "__count", "__n", "__chunk", "__home")
 
 
 def dbscan_xy(df: DataFrame, epsilon, min_pts: int, part: list[str] = PART) -> DataFrame:
@@ -40,11 +44,12 @@ def dbscan_xy(df: DataFrame, epsilon, min_pts: int, part: list[str] = PART) -> D
     return by_y.unionByName(by_x.where("x_label is null").withColumn("y_label", F.lit(None).cast("long")))
 
 
-def blocks(df: DataFrame, part: list[str], distance: Column | int, order: list) -> DataFrame:
+def blocks(df: DataFrame, part: list[str], distance: Column | int, order: list[str], chunk: int = 1 << 16) -> DataFrame:
     """df with __block: parts are cut where posA jumps by more than the distance, as no link spans such a gap."""
-    w = Window.partitionBy(*part).orderBy(*order)
-    jump = F.when(F.col("posA") - F.lag("posA").over(w) > distance, 1).otherwise(0)
-    return df.withColumn("__block", F.sum(jump).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = in_chunks(df, part, order, 1, chunk)
+    w = Window.partitionBy("__chunk", *part).orderBy("__n")
+    out = out.withColumn("__jump", F.coalesce(F.col("posA") - F.lag("posA").over(w) > distance, F.lit(False)))
+    return running_count(out, part, "__jump", "__block").where("__home").drop("__jump", "__n", "__chunk", "__home")
 
 
 def fold_blocks(df: DataFrame, keys: list[str], order: list[str], fold, schema: str) -> DataFrame:

@@ -9,6 +9,7 @@ from breakfold.functions.overlap import overlap_ratio, within_box
 from breakfold.functions.tags import export_alt, genotype_columns
 from breakfold.operators.bandjoin import band_join
 from breakfold.operators.cluster import PART, dbscan_xy, star_cover
+from breakfold.operators.staging import numbered
 
 
 def _is_ins():
@@ -29,7 +30,7 @@ def neighbours(store: DataFrame, overlap: float = 0.8, bnd_distance: int = 2500,
     right = store.select(*part, F.col("posA").alias("dA"), F.col("posB").alias("dB"), F.col("idx").alias("other"))
     q = [F.col(c) for c in ("posA", "posB", "dA", "dB")]
     hit = within_box(*q, far) & ((F.col("chrA") != F.col("chrB")) | _is_ins() | F.coalesce(overlap_ratio(*q) >= overlap, F.lit(False)))
-    return band_join(left, right, part, "posA", "dA", max(bnd_distance, ins_distance), "inner", hit).select("idx", "other")
+    return band_join(left, right, part, "posA", "dA", max(bnd_distance, ins_distance), "inner", hit, "posB", "dB").select("idx", "other")
 
 
 def cluster_members(store: DataFrame, overlap: float = 0.8, bnd_distance: int = 2500, ins_distance: int = 50, dbscan: bool = False, epsilon: int = 500, min_pts: int = 2) -> DataFrame:
@@ -81,9 +82,9 @@ def summarize(members: DataFrame, n_samples: int) -> DataFrame:
 
 
 def lines(members: DataFrame, samples: list[str]) -> DataFrame:
-    """A row per cluster with its VCF ``line`` and ``ord``, the values to sort by when it is written.
+    """A row per cluster with its VCF ``line`` and ``ord``, its running number.
 
-    Clusters are numbered in output order when written; the id here is their first index, which is as unique.
+    Clusters are named by running numbers from 0, by chromosomes, type, position, first index and centre.
     """
     n = len(samples)
     who = members.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("idx", "sample", "posA", "posB"))).alias("who"), F.array_sort(F.collect_set("sample")).alias("hits"))
@@ -97,5 +98,7 @@ def lines(members: DataFrame, samples: list[str]) -> DataFrame:
         F.lit(";NSAMPLES="), s("n_samples"), F.lit(";OCC="), s("occ"), F.lit(";FRQ="), s("frq"),
         F.lit(";CIPOS="), s("ci_pos_low"), F.lit(","), s("ci_pos_high"), F.lit(";CIEND="), s("ci_end_low"), F.lit(","), s("ci_end_high"), F.lit(";VARIANTS="), listed,
     )
-    line = F.concat_ws("\t", "chrA", s("posA"), F.concat(F.lit("cluster_"), s("first_idx")), F.lit("N"), alt, F.lit("."), F.lit("PASS"), info, F.lit("GT"), genotype_columns(F.lit(samples).cast("array<string>"), F.col("hits")))
-    return out.select(F.struct("chrA", "chrB", "var", "posA", "posB", "first_idx").alias("ord"), line.alias("line"))
+    order = ["chrA", "chrB", "var", "posA", "posB", "first_idx", "center_idx", "kind", "x_label", "y_label"]
+    whole = numbered(out.select(*order, info.alias("info"), alt.alias("alt"), "hits"), order, "ord")
+    line = F.concat_ws("\t", "chrA", s("posA"), F.concat(F.lit("cluster_"), s("ord")), F.lit("N"), "alt", F.lit("."), F.lit("PASS"), "info", F.lit("GT"), genotype_columns(F.lit(samples).cast("array<string>"), F.col("hits")))
+    return whole.select("ord", line.alias("line"))

@@ -25,7 +25,7 @@ def merge_edges(calls: DataFrame, overlap: float = 0.95, bnd_distance: int = 200
     inter = F.col("chrA") != F.col("chrB")
     near = inter | (F.col("dA") - F.col("posA") <= bnd_distance)
     hit = near & F.when(ins, F.when(inter, within_box(*q, ins_distance)).otherwise(matches(inter, *q, -1.0, ins_distance))).otherwise(matches(inter, *q, overlap, bnd_distance))
-    return band_join(left, right, ["chrA", "chrB", "event_type"], "posA", "dA", max(bnd_distance, ins_distance), "inner", hit & (F.col("ra") < F.col("rb"))).select("a", "b", "ra", "rb")
+    return band_join(left, right, ["chrA", "chrB", "event_type"], "posA", "dA", max(bnd_distance, ins_distance), "inner", hit & (F.col("ra") < F.col("rb")), "posB", "dB").select("a", "b", "ra", "rb")
 
 
 def clusters(calls: DataFrame, assigned: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from breakfold.functions.parsing import ci_columns
+from breakfold.operators import staging
 
 COLUMNS = ["var", "chrA", "chrB", "posA", "ci_A_lower", "ci_A_upper", "posB", "ci_B_lower", "ci_B_upper", "sample", "idx"]
 SCHEMA = "var string, chrA string, chrB string, posA long, ci_A_lower long, ci_A_upper long, posB long, ci_B_lower long, ci_B_upper long, sample string, idx long"
@@ -36,18 +37,8 @@ def carriers(calls: DataFrame, pass_only: bool = False) -> DataFrame:
 
 
 def numbered(rows: DataFrame, first: int = 0, order: tuple = ("source_ord", "line_no", "sample_pos")) -> DataFrame:
-    """rows with idx counted on from ``first`` in the given order, without gathering them in one task.
-
-    Rows are sorted by range; each partition numbers its own and starts behind those before it.
-    """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    ranged = ranged.withColumn("__m", F.monotonically_increasing_id())
-    counts = {r["__p"]: r["count"] for r in ranged.groupBy("__p").count().collect()}  # one row per partition
-    before, starts = first, {}
-    for p in sorted(counts):
-        starts[p], before = before, before + counts[p]
-    offsets = F.create_map(*[F.lit(x) for p, s in starts.items() for x in (p, s)]) if starts else F.create_map().cast("map<int,int>")
-    return ranged.withColumn("idx", (F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + F.element_at(offsets, F.col("__p"))).cast("long")).drop("__p", "__m")
+    """rows with idx counted on from ``first`` in the given order, without gathering them in one task."""
+    return staging.numbered(rows, list(order), "idx", first)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

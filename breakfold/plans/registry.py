@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
         QUERIES[name] = f
         if sql:
             needs_lines = " lines" in sql
-            SQL[name] = f"WITH {LINES_CTE.replace('calls AS', 'lines AS') if needs_lines else CALLS_CTE}{'' if sql.lstrip().startswith(',') else ' '}{sql}"
+            SQL[name] = f"WITH RECURSIVE {LINES_CTE.replace('calls AS', 'lines AS') if needs_lines else CALLS_CTE}{'' if sql.lstrip().startswith(',') else ' '}{sql}"
         return f
 
     return add
@@ -352,15 +352,17 @@ N40 = 40
 
 
 def _export_sql(keys: str, tail: str) -> str:
-    return f"""SELECT var, chrA, chrB, {tail} FROM lab GROUP BY var, chrA, chrB, {keys}"""
+    return f"""SELECT * EXCLUDE (a0, a1, b0, b1), {SPANS} FROM (SELECT var, chrA, chrB, {tail} FROM lab GROUP BY var, chrA, chrB, {keys})"""
 
 
 DENSE_TAIL = """CASE WHEN count(*) = 1 THEN min(posA) ELSE CAST(floor(sum(posA) / count(*)) AS BIGINT) END AS posA, CASE WHEN count(*) = 1 THEN min(posB) ELSE CAST(floor(sum(posB) / count(*)) AS BIGINT) END AS posB,
-count(DISTINCT sample) AS occ, count(*) AS n_calls, round(count(DISTINCT sample) / 20, 4) AS frq, min(idx) AS first_idx"""
+count(DISTINCT sample) AS occ, count(*) AS n_calls, round(count(DISTINCT sample) / 20, 4) AS frq, min(idx) AS first_idx, min(posA) AS a0, max(posA) AS a1, min(posB) AS b0, max(posB) AS b1"""
+#: A cluster's spans around its representative.
+SPANS = "-abs(posA - a0) AS ci_pos_low, abs(posA - a1) AS ci_pos_high, -abs(posB - b0) AS ci_end_low, abs(posB - b1) AS ci_end_high"
 
 
 def _summary(members):
-    return export.summarize(members, 20).select("var", "chrA", "chrB", "posA", "posB", "occ", "n_calls", "frq", "first_idx")
+    return export.summarize(members, 20).select("var", "chrA", "chrB", "posA", "posB", "occ", "n_calls", "frq", "first_idx", "ci_pos_low", "ci_pos_high", "ci_end_low", "ci_end_high")
 
 
 @query("export_dbscan", _xy_sql("500") + _export_sql("isl, isl2, dense, CASE WHEN dense THEN 0 ELSE idx + 1 END", DENSE_TAIL))
@@ -368,9 +370,37 @@ def export_dbscan(spark, d):
     return _summary(export.cluster_members(_store(spark, d), dbscan=True))
 
 
-@query("export_no_merge", f", {STORE} SELECT var, chrA, chrB, posA, posB, 1 AS occ, 1 AS n_calls, round(1 / 20, 4) AS frq, idx AS first_idx FROM store WHERE var <> 'INS'")
+#: Anchors of ``nodes`` (block b, place i from 1, places ``low`` of the lower neighbours), block by block: a node without an anchor below is one.
+WALK = """walk AS (SELECT b, CAST(1 AS BIGINT) AS i, [CAST(1 AS BIGINT)] AS anc FROM nodes WHERE i = 1
+UNION ALL SELECT w.b, w.i + 1, CASE WHEN list_has_any(w.anc, n.low) THEN w.anc ELSE list_append(w.anc, n.i) END FROM walk w JOIN nodes n ON n.b = w.b AND n.i = w.i + 1),
+fin AS (SELECT b, arg_max(anc, i) AS anc FROM walk GROUP BY b)"""
+
+
+def _star_sql(keep: str = "true") -> str:
+    """cl: a row per cluster and member of the calls that ``keep`` holds for; greedy star covers inside density clusters, noise by itself."""
+    far = "CASE WHEN q.var = 'INS' THEN 50 ELSE 2500 END"
+    return (
+        _xy_sql("CASE WHEN var = 'INS' THEN 50 ELSE 2500 END").replace("FROM store),", f"FROM store WHERE {keep}),", 1)
+        + f""", d AS (SELECT *, concat_ws('/', var, chrA, chrB, isl, isl2) AS b FROM lab WHERE dense),
+    nb AS (SELECT q.b, q.idx, d.idx AS other FROM d q JOIN d ON q.b = d.b AND abs(q.posA - d.posA) <= {far} AND abs(q.posB - d.posB) <= {far} WHERE q.chrA <> q.chrB OR q.var = 'INS' OR {RATIO} >= 0.8),
+    deg AS (SELECT d.*, n FROM d JOIN (SELECT idx, count(*) AS n FROM nb GROUP BY 1) USING (idx)),
+    pl AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY n DESC, posA, posB, idx) AS i FROM deg),
+    nodes AS (SELECT pl.b, pl.i, pl.idx, coalesce(low, []) AS low FROM pl LEFT JOIN (SELECT x.idx, list(y.i) AS low FROM nb JOIN pl x ON x.idx = nb.idx JOIN pl y ON y.idx = nb.other WHERE y.i < x.i GROUP BY 1) USING (idx)), {WALK},
+    ce AS (SELECT n.b, n.idx FROM nodes n JOIN fin USING (b) WHERE list_contains(anc, n.i)),
+    cl AS (SELECT s.var, s.chrA, s.chrB, ce.idx AS center, s.idx, s.posA, s.posB, s.sample FROM ce JOIN nb ON nb.idx = ce.idx JOIN store s ON s.idx = nb.other
+           UNION ALL SELECT var, chrA, chrB, idx, idx, posA, posB, sample FROM lab WHERE NOT dense),
+    su AS (SELECT cl.var, cl.chrA, cl.chrB, center, min(m.posA) AS posA, min(m.posB) AS posB, count(DISTINCT cl.sample) AS occ, count(*) AS n_calls, round(count(DISTINCT cl.sample) / 20, 4) AS frq, min(cl.idx) AS first_idx,
+           min(cl.posA) AS a0, max(cl.posA) AS a1, min(cl.posB) AS b0, max(cl.posB) AS b1 FROM cl JOIN store m ON m.idx = cl.center GROUP BY 1, 2, 3, 4),
+    summary AS (SELECT * EXCLUDE (a0, a1, b0, b1), {SPANS} FROM su)"""
+    )
+
+
+@query(
+    "export_no_merge",
+    _star_sql("var = 'INS'") + " SELECT * EXCLUDE (center) FROM summary UNION ALL SELECT var, chrA, chrB, posA, posB, 1, 1, round(1 / 20, 4), idx, 0, 0, 0, 0 FROM store WHERE var <> 'INS'",
+)
 def export_no_merge(spark, d):
-    return _summary(export.no_merge_members(_store(spark, d)).where("var <> 'INS'"))
+    return _summary(export.no_merge_members(_store(spark, d)))
 
 
 @query(
@@ -394,12 +424,23 @@ def neighbor_degree(spark, d):
     return export.neighbours(_store(spark, d)).groupBy("idx").agg(F.count(F.lit(1)).alias("degree"))
 
 
-@query("export_star_cover")
+@query("export_star_cover", _star_sql() + " SELECT * EXCLUDE (center) FROM summary")
 def export_star_cover(spark, d):
     return _summary(export.cluster_members(_store(spark, d)))
 
 
-@query("export_lines")
+@query(
+    "export_lines",
+    _star_sql()
+    + """, sa AS (SELECT list(DISTINCT sample ORDER BY sample) AS names FROM store),
+    li AS (SELECT center, list(DISTINCT sample) AS hits, string_agg('|' || sample || ':' || posA || ':' || posB, '' ORDER BY idx) AS listed FROM cl GROUP BY 1),
+    o AS (SELECT summary.*, row_number() OVER (ORDER BY chrA, chrB, var, posA, posB, first_idx, center) - 1 AS n FROM summary)
+    SELECT concat_ws(chr(9), chrA, posA, 'cluster_' || n, 'N', CASE WHEN chrA = chrB AND var <> 'BND' THEN '<' || var || '>' ELSE 'N[' || chrB || ':' || posB || '[' END, '.', 'PASS',
+           'SVTYPE=' || var || CASE WHEN chrA = chrB AND var <> 'BND' THEN ';END=' || posB || ';SVLEN=' || abs(posA - posB) ELSE '' END || ';NSAMPLES=' || len(names) || ';OCC=' || occ || ';FRQ=' || round(occ / len(names), 4)
+           || ';CIPOS=' || ci_pos_low || ',' || ci_pos_high || ';CIEND=' || ci_end_low || ',' || ci_end_high || ';VARIANTS=' || listed, 'GT',
+           array_to_string(list_transform(names, lambda x: CASE WHEN list_contains(hits, x) THEN './1' ELSE '0/0' END), chr(9))) AS line
+    FROM o JOIN li USING (center), sa""",
+)
 def export_lines(spark, d):
     s = _store(spark, d)
     return export.lines(export.cluster_members(s), sorted(store.column(store.distinct_values(s, "sample"), "sample"))).select("line")
@@ -416,31 +457,76 @@ def merge_edges(spark, d):
     return merge.merge_edges(merge_calls(spark, d)).select("a", "b")
 
 
-@query("merge_assign")
+ASSIGN = f""", {EDGE},
+ord AS (SELECT *, c % 3 AS o, CASE WHEN posA - lag(posA) OVER (PARTITION BY chrA, chrB, var ORDER BY posA, c % 3, k) > 2000 THEN 1 ELSE 0 END AS jump FROM calls),
+blk AS (SELECT *, sum(jump) OVER (PARTITION BY chrA, chrB, var ORDER BY posA, o, k) AS bl FROM ord),
+num AS (SELECT k, concat_ws('/', chrA, chrB, var, bl) AS b, row_number() OVER (PARTITION BY chrA, chrB, var, bl ORDER BY posA, o, k) AS i FROM blk),
+nodes AS (SELECT num.*, coalesce(low, []) AS low FROM num LEFT JOIN (SELECT e.b AS k, list(n.i) AS low FROM e JOIN num n ON n.k = e.a GROUP BY 1) USING (k)), {WALK},
+own AS (SELECT n.k, n.b, CASE WHEN list_has_any(n.low, anc) THEN list_min(list_intersect(n.low, anc)) ELSE n.i END AS ai FROM nodes n JOIN fin USING (b)),
+asg AS (SELECT own.k AS call_id, a.k AS anchor_id FROM own JOIN num a ON a.b = own.b AND a.i = own.ai)"""
+
+
+@query("merge_assign", ASSIGN + " SELECT * FROM asg")
 def merge_assign(spark, d):
     return cluster.greedy_merge(merge_calls(spark, d))
 
 
+#: mem: members of each record, the anchor first; files: each source's record in it, the anchor's own or the last; rec: a row a record.
+RECORDS = (
+    ASSIGN
+    + """, mem AS (SELECT anchor_id, c.*, c % 3 AS o, ['alpha', 'beta', 'gamma'][c % 3 + 1] AS src, 'v' || k AS vid, call_id <> anchor_id AS later,
+           'SVTYPE=' || var || ';END=' || pb || ';T' || c % 3 || '=' || c % 7 || ';ANY=' || k AS info, CASE WHEN k % 2 = 0 THEN 'CN' ELSE 'DP' END AS k2,
+           row_number() OVER (PARTITION BY anchor_id ORDER BY call_id <> anchor_id, posA, c % 3, k) AS r FROM asg JOIN calls c ON c.k = call_id),
+    files AS (SELECT mem.* FROM (SELECT anchor_id, src, CASE WHEN min(r) = 1 THEN 1 ELSE max(r) END AS r FROM mem GROUP BY 1, 2) JOIN mem USING (anchor_id, src, r)),
+    cal AS (SELECT anchor_id, list(src ORDER BY r0) AS callers, count(*) AS foundby FROM (SELECT anchor_id, src, min(r) AS r0 FROM mem GROUP BY 1, 2) GROUP BY 1),
+    tag AS (SELECT anchor_id, count(*) FILTER (filter IN ('PASS', '.')) AS n_pass, count(*) AS n_all, string_agg(CASE WHEN filter IN ('PASS', '.') THEN '' ELSE 'filterIn' END || src, '-' ORDER BY o) AS parts,
+            string_agg(CASE WHEN first THEN info ELSE 'T' || o || '=' || c % 7 END, ';' ORDER BY o) AS info_union, list(k2 ORDER BY o) AS k2s, arg_min(k2, o) AS key1
+            FROM (SELECT *, o = min(o) OVER (PARTITION BY anchor_id) AS first FROM files) GROUP BY 1),
+    vid AS (SELECT anchor_id, coalesce(string_agg(vid || ':' || src, '|' ORDER BY r) FILTER (later), '') AS varid, count(*) FILTER (later) AS n_later FROM mem GROUP BY 1),
+    rec AS (SELECT anchor_id, foundby, concat(list_contains(callers, 'alpha')::INT, list_contains(callers, 'beta')::INT, list_contains(callers, 'gamma')::INT) AS supp_vec,
+            CASE WHEN n_pass = 3 THEN 'Intersection' WHEN n_all = 3 AND n_pass = 0 THEN 'FilteredInAll' ELSE parts END AS set_tag, array_to_string(callers, '|') AS origin, varid, n_later, info_union, callers,
+            'GT:' || key1 || CASE WHEN len(list_distinct(k2s)) = 2 THEN CASE WHEN key1 = 'CN' THEN ':DP' ELSE ':CN' END ELSE '' END AS fmt FROM cal JOIN tag USING (anchor_id) JOIN vid USING (anchor_id)),
+    sv AS (SELECT rec.anchor_id, p.o, CASE WHEN f.k IS NULL THEN './.' || repeat(':.', len(string_split(fmt, ':')) - 1)
+            ELSE f.gt || ':' || CASE WHEN split_part(fmt, ':', 2) = f.k2 THEN (f.c % 5)::VARCHAR ELSE '.' END || CASE WHEN split_part(fmt, ':', 3) = '' THEN '' WHEN split_part(fmt, ':', 3) = f.k2 THEN ':' || f.c % 5 ELSE ':.' END END AS value
+            FROM rec CROSS JOIN (SELECT unnest([0, 1, 2]) AS o) p LEFT JOIN files f ON f.anchor_id = rec.anchor_id AND f.o = p.o)"""
+)
+
+
 def _merged(spark, d, **kw):
     return merge.merge(merge_calls(spark, d), SOURCES, ["P0", "P1", "P2"], **kw)
 
 
-@query("merge_support")
+@query("merge_support", RECORDS + " SELECT anchor_id, foundby, supp_vec, set_tag, origin, varid FROM rec")
 def merge_support(spark, d):
     return _merged(spark, d).select("anchor_id", "foundby", "supp_vec", "set_tag", "origin", "varid")
 
 
-@query("merge_info_union")
+@query("merge_info_union", RECORDS + " SELECT anchor_id, info_union FROM rec")
 def merge_info_union(spark, d):
     return _merged(spark, d).select("anchor_id", "info_union")
 
 
-@query("merge_format_union")
+@query("merge_format_union", RECORDS + " SELECT anchor_id, fmt, string_agg(value, '|' ORDER BY o) AS sample_values FROM rec JOIN sv USING (anchor_id) GROUP BY 1, 2")
 def merge_format_union(spark, d):
     return _merged(spark, d).select("anchor_id", "fmt", F.array_join("sample_values", "|").alias("sample_values"))
 
 
-@query("merge_lines")
+def _tag_sql(name: str, value: str) -> str:
+    return f"string_agg(';' || src || '_{name}=' || {value}, '' ORDER BY r0)"
+
+
+@query(
+    "merge_lines",
+    RECORDS
+    + f""", ps AS (SELECT anchor_id, src, min(r) AS r0, string_agg(vid || '|' || s1, ',' ORDER BY r) AS chrom, string_agg(vid || '|' || pa, ',' ORDER BY r) AS pos, string_agg(vid || '|.', ',' ORDER BY r) AS qual,
+          string_agg(vid || '|' || filter, ',' ORDER BY r) AS filters, string_agg(vid || '|P' || o || '|GT:' || gt || '|' || k2 || ':' || c % 5, ',' ORDER BY r) AS sample,
+          string_agg(vid || '|' || replace(replace(info, ';', '|'), '=', ':'), ',' ORDER BY r) AS info FROM mem GROUP BY 1, 2),
+    tags AS (SELECT anchor_id, {_tag_sql("CHROM", "chrom")} || {_tag_sql("POS", "pos")} || {_tag_sql("QUAL", "qual")} || {_tag_sql("FILTERS", "filters")} || {_tag_sql("SAMPLE", "sample")} || {_tag_sql("INFO", "info")} AS per_source FROM ps GROUP BY 1),
+    sm AS (SELECT anchor_id, string_agg(value, chr(9) ORDER BY o) AS samples FROM sv GROUP BY 1)
+    SELECT anchor_id, concat_ws(chr(9), a.s1, a.pa, a.vid || CASE WHEN n_later > 0 THEN ':' || a.src || '|' || varid ELSE '' END, 'N', '<' || a.var || '>', '.', a.filter,
+           info_union || CASE WHEN n_later > 0 THEN ';VARID=' || varid ELSE '' END || ';set=' || set_tag || ';FOUNDBY=' || foundby || per_source || ';origin=' || origin || ';SUPP_VEC=' || supp_vec, fmt, samples) AS line
+    FROM rec JOIN mem a USING (anchor_id) JOIN tags USING (anchor_id) JOIN sm USING (anchor_id) WHERE NOT a.later""",
+)
 def merge_lines(spark, d):
     return _merged(spark, d).select("anchor_id", "line")
 
