@@ -59,10 +59,10 @@ def _end(spark: SparkSession, path: str) -> None:
         pass  # the session was stopped first; its shared folder is the cluster's to clean
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, clean: bool = True) -> DataFrame:
     """df with its lineage cut: written as Parquet to the shared checkpoint folder and read again.
 
-    Shuffle files of the jobs behind it aren't needed any more; a collection lets Spark's cleaner drop them.
+    Shuffle files of the jobs behind it aren't needed any more; with ``clean`` a collection lets Spark's cleaner drop them.
     """
     spark = df.sparkSession
     path = f"{work_folder(spark)}/cut-{uuid.uuid4().hex}"
@@ -70,9 +70,15 @@ def cut(df: DataFrame) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     del df
+    if clean:
+        drop_shuffles(spark)
+    return out
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
     gc.collect()
     spark._jvm.System.gc()
-    return out
 
 
 def discard(*tables: DataFrame) -> None:

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, with_least
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
-    """pairs (u, v) with each u's least neighbour or itself as m."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+    """pairs (u, v) with each u's least neighbour or itself as m; the pairs of a star's centre are dealt over many tasks."""
+    return with_least(pairs, "u", "v", "m").withColumn("m", F.least("u", "m"))
 
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:

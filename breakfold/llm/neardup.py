@@ -13,8 +13,10 @@
    different texts is lost where a star's centre isn't similar to all.
 5. Components of the confirmed stars are the result.
 
-Buckets and groups of more than ``block`` members are dealt into blocks; every two blocks
-meet in one task, so a task gets 2 * block members at most.
+Buckets and groups of more than ``block`` members are dealt into blocks.  First each block meets the least
+member of all, the centre, so a group of variants of one text is linked in about as many comparisons
+as it has members.  Then members that aren't linked to the centre, dealt into blocks of their own, meet all
+blocks; members that are linked to it needn't be compared with each other.  A task gets 2 * block members at most.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, cut, small_batches
+from .common import batch_of, cut, discard, small_batches, with_least
 from .components import components
 from .words import U, WordHashes, mixed, runs, words
 
@@ -87,29 +89,51 @@ class Signer:
         return mixed((grid * self.powers).sum(axis=1, dtype=U) + self.band).view(np.int64)
 
 
-def _clusters(n: int, linked) -> np.ndarray:
-    """The least member of each member's cluster; linked(i, rest) tells which of the later members i is linked to."""
-    root = np.arange(n)
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+def _clusters(n: int, linked, known: np.ndarray) -> np.ndarray:
+    """The least member of each member's cluster; linked(i, rest) tells which members of ``rest`` i is linked to.
 
+    Members with ``known`` are one cluster already.  A member is compared only with later ones that aren't in its cluster
+    yet, so a group whose members are mostly linked to each other takes about as many comparisons as it has members.
+    """
+    root = np.arange(n)
+    root[known] = np.argmax(known)
     for i in range(n - 1):
-        for j in np.nonzero(linked(i))[0] + i + 1:
-            a, b = find(i), find(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    return np.array([find(i) for i in range(n)], np.int64)
-
-
-def _in_blocks(rows: DataFrame, key: str, id_col: str, block: int) -> DataFrame:
-    """rows with a task key: each two blocks of a key's rows meet under one; keys with one row go."""
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__m")).where("__m > 1").select(key, F.expr(f"cast(ceil(__m / {block}) as int)").alias("__n"))
-    out = rows.join(sizes, key).withColumn("__b", F.expr(f"cast(pmod(xxhash64({id_col}, 5), __n) as int)"))
-    return out.withColumn("__o", F.explode(F.expr("sequence(0, __n - 1)"))).withColumn("__i", F.least("__b", "__o")).withColumn("__j", F.greatest("__b", "__o")).drop("__b", "__o", "__n")
+        rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        if not len(rest):
+            break
+        found = rest[linked(i, rest)]
+        if len(found):
+            joined = np.unique(np.append(root[found], root[i]))
+            root[np.isin(root, joined)] = joined[0]
+    return root
+
+
+def _links(rows: DataFrame, key: str, payload: DataFrame, star, names: list[str], block: int) -> DataFrame:
+    """Edges (a, b) whose components are those of all links between rows (key, doc_id) of equal keys; payload has doc_id and what is compared."""
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__m"), F.min("doc_id").alias("__centre")).where("__m > 1").select(key, "__centre", F.expr(f"cast(ceil(__m / {block}) as int)").alias("__n"))
+    members = rows.join(sizes, key).withColumn("__i", F.expr("cast(pmod(xxhash64(doc_id, 5), __n) as int)"))
+    every = F.explode(F.expr("sequence(0, __n - 1)"))
+    centres = members.where("doc_id = __centre and __n > 1").withColumn("__own", F.col("__i")).withColumn("__i", every).where("__i <> __own").drop("__own")
+    first = members.unionByName(centres).select(key, "__i", F.lit(-1).alias("__j"), "doc_id", F.lit(False).alias("known"))
+    # The same join at every size: a broadcast that small tables get would hide what large ones send.
+    edges = cut(_stars(first.hint("merge").join(payload, "doc_id"), key, star, names))
+    big = cut(members.where("__n > 1").select(key, "doc_id", "__centre", "__n", "__i"))
+    if not big.take(1):
+        return edges
+    near = edges.select(F.col("a").alias("__centre"), F.col("b").alias("doc_id"), F.lit(True).alias("known")).distinct()
+    told = big.join(near, ["__centre", "doc_id"], "left").withColumn("known", F.coalesce("known", F.col("doc_id") == F.col("__centre")))
+    told = cut(told)
+    apart = told.where("not known")
+    if not apart.take(1):
+        discard(big, told)
+        return edges
+    counts = apart.groupBy(key).agg(F.expr(f"cast(ceil(count(1) / {block}) as int)").alias("__r"))
+    told = told.join(counts, key).withColumn("__q", F.when(~F.col("known"), F.expr("cast(pmod(xxhash64(doc_id, 6), __r) as int)")))
+    asking = told.where("not known").withColumn("__j", F.col("__q")).withColumn("__i", every)
+    asked = told.withColumn("__j", F.explode(F.expr("sequence(0, __r - 1)"))).where("known or __q <> __j")
+    cols = [key, "__i", "__j", "doc_id", "known"]
+    second = asking.select(*cols).unionByName(asked.select(*cols))
+    return edges.unionByName(_stars(second.hint("merge").join(payload, "doc_id"), key, star, names))
 
 
 TASK = ["__i", "__j"]
@@ -140,17 +164,18 @@ def _stars(rows: DataFrame, key: str, star, names: list[str]) -> DataFrame:
                 bounds = bounds[:-1]  # the last task may go on in the next batch
             columns = {n: held.column(n) for n in names}
             prepared = star.prepare(columns, bounds[-1])
+            known = held.column("known").to_numpy(zero_copy_only=False)
             out_a, out_b = [], []
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                 if hi - lo > 1:
-                    a, c = star(prepared, lo, hi)
+                    a, c = star(prepared, lo, hi, known[lo:hi])
                     out_a.append(a)
                     out_b.append(c)
             held = held.slice(bounds[-1])
             none = np.zeros(0, np.int64)
             yield batch_of(["a", "b"], [pa.int64(), pa.int64()], [np.concatenate(out_a or [none]), np.concatenate(out_b or [none])])
 
-    ready = rows.repartition(*keys).sortWithinPartitions(*keys, "doc_id").select(*keys, *names)
+    ready = rows.repartition(*keys).sortWithinPartitions(*keys, "doc_id").select(*keys, "known", *names)
     return ready.mapInArrow(run, "a long, b long")
 
 
@@ -169,18 +194,18 @@ class BucketStar:
         sig = columns["sig"].slice(0, n)
         return columns["doc_id"].to_numpy()[:n], columns["n"].to_numpy()[:n], np.frombuffer(b"".join(sig.to_pylist()), np.uint8).reshape(n, -1) if n else None
 
-    def __call__(self, prepared, lo: int, hi: int):
+    def __call__(self, prepared, lo: int, hi: int, known: np.ndarray):
         ids, n, sigs = (x[lo:hi] for x in prepared)
         p = self.p
 
-        def linked(i):
-            a, b = np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
+        def linked(i, rest):
+            a, b = np.minimum(n[i], n[rest]), np.maximum(n[i], n[rest])
             out = 100 * a >= p.percent * b
             at = np.nonzero(out)[0]
-            out[at] = (sigs[at + i + 1] == sigs[i]).sum(axis=1) >= self.least
+            out[at] = (sigs[rest[at]] == sigs[i]).sum(axis=1) >= self.least
             return out
 
-        return _edges(ids, _clusters(len(ids), linked))
+        return _edges(ids, _clusters(len(ids), linked, known), known)
 
 
 class SetStar:
@@ -193,7 +218,7 @@ class SetStar:
         self.hashes = self.hashes or WordHashes()
         return columns["doc_id"].to_numpy()[:n], columns["text"]
 
-    def __call__(self, prepared, lo: int, hi: int):
+    def __call__(self, prepared, lo: int, hi: int, known: np.ndarray):
         p, ids = self.p, prepared[0][lo:hi]
         sets = [shingle_set(words(t, lower=True), p.shingle, self.hashes) for t in prepared[1].slice(lo, hi - lo).to_pylist()]
         n = np.array([len(s) for s in sets], np.int64)
@@ -204,19 +229,21 @@ class SetStar:
         order = np.argsort(flat, kind="stable")
         holders, first = owner[order], np.searchsorted(flat[order], np.arange(flat.max() + 2))
 
-        def linked(i):
+        def linked(i, rest):
             own = flat[ends[i] - n[i] : ends[i]]
             a, b = first[own], first[own + 1]
             lens = b - a
             at = np.repeat(b - np.cumsum(lens), lens) + np.arange(lens.sum())
-            both = np.bincount(holders[at], minlength=len(sets))[i + 1 :]
-            return 100 * both >= p.percent * (n[i] + n[i + 1 :] - both)
+            both = np.bincount(holders[at], minlength=len(sets))[rest]
+            return 100 * both >= p.percent * (n[i] + n[rest] - both)
 
-        return _edges(ids, _clusters(len(ids), linked))
+        return _edges(ids, _clusters(len(ids), linked, known), known)
 
 
-def _edges(ids: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keep = root != np.arange(len(ids))
+def _edges(ids: np.ndarray, root: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An edge from each cluster's least member to every other; of known members one stands for all."""
+    told = known & (np.cumsum(known) > 1)
+    keep = (root != np.arange(len(ids))) & ~told
     return ids[root[keep]], ids[keep]
 
 
@@ -248,21 +275,18 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
 
     # One pass over the texts; a document's row is of fixed size.
     signs = cut(rows.mapInArrow(sign, "doc_id long, same binary, n long, sig binary, keys array<long>"))
-    classes = signs.where("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"))
-    reps = cut(signs.select("doc_id", "same", F.col("n").alias("n_shingles")).join(classes, "same", "left").select("doc_id", "n_shingles", "rep"))
+    heads = signs.select("doc_id", "same", F.col("n").alias("n_shingles"))
+    alone = heads.where("same is null or doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("rep"))
+    reps = cut(with_least(heads, "same", "doc_id", "rep").select("doc_id", "n_shingles", "rep").unionByName(alone))
     one = reps.where("doc_id = rep").select("doc_id").distinct()
     signed = signs.where("same is not null").join(one, "doc_id", "left_semi")
     banded = signed.select("doc_id", F.explode("keys").alias("key"))
-    met = _in_blocks(banded, "key", "doc_id", p.block).join(signed.select("doc_id", "n", "sig"), "doc_id")
-    stars = _stars(met, "key", BucketStar(p), ["doc_id", "n", "sig"])
+    stars = _links(banded, "key", signed.select("doc_id", "n", "sig"), BucketStar(p), ["doc_id", "n", "sig"], p.block)
     groups = cut(components(stars))
     grouped = groups.select(F.col("id").alias("doc_id"), F.col("component").alias("grp"))
     grouped = grouped.unionByName(grouped.select(F.col("grp").alias("doc_id"), "grp").distinct())
-    # Only texts of groups travel; a document is sent once to every block of its group.
-    # The same join at every size: a broadcast that small tables get would hide what large ones send.
-    texts = rows.join(grouped.hint("merge"), "doc_id")
-
-    links = _stars(_in_blocks(texts, "grp", "doc_id", p.block), "grp", SetStar(p), ["doc_id", "text"])
+    # A text of a group is sent to its block once, but for what is apart from its group's centre.
+    links = _links(grouped, "grp", rows.where("doc_id is not null"), SetStar(p), ["doc_id", "text"], p.block)
     found = components(links).select(F.col("id").alias("rep"), "component")
     out = reps.join(found, "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))

@@ -5,6 +5,7 @@ import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -321,6 +322,42 @@ def test_chain_links_where_no_centre_is_similar_to_all(spark):
     assert {r.component_id for r in neardup.near_duplicates(frame(spark, rows)).collect()} == {0}
 
 
+@pytest.mark.parametrize("block", [8, 64])
+def test_near_duplicates_in_blocks(spark, block):
+    """A group of many blocks: variants of one text, some that only others link, and a chain away from the centre."""
+    r = random.Random(4)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(120):
+        w = base[:]
+        for k in r.sample(range(150), 2 if i % 3 else 6):
+            w[k] = f"z{r.randrange(1000)}"
+        rows.append((i, " ".join(w)))
+    for step in range(30):
+        rows.append((500 + step, " ".join([f"q{k}" for k in range(step)] + base[step:])))
+    sets = sets_of(rows, 3)
+    want = components_by_scan(sets, 85)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, rows).repartition(5), neardup.Params(block=block)).collect()}
+    assert got == want
+
+
+def test_clusters_are_those_of_all_pairs():
+    r = np.random.default_rng(1)
+    for n in (2, 5, 40):
+        for share in (0.02, 0.2, 0.9):
+            link = r.random((n, n)) < share
+            link |= link.T
+            known = r.random(n) < 0.3
+            full = link | np.outer(known, known) | np.eye(n, dtype=bool)
+            want = np.arange(n)
+            for _ in range(n):
+                want = np.array([want[full[i]].min() for i in range(n)])
+            got = neardup._clusters(n, lambda i, rest: link[i, rest], known)
+            assert (got == want).all()
+            a, b = neardup._edges(np.arange(n), got, known)
+            assert len(a) < n
+
+
 def test_hash_runs():
     h = np.random.default_rng(0).integers(0, 2**63, 90).astype(np.uint64)
     for n in (1, 2, 3, 5, 25, 50, 90, 91):
@@ -355,23 +392,50 @@ def test_shards(spark):
     assert sharding.assign_shards(frame(spark, []), 4).count() == 0
 
 
+def counted(items):
+    return sorted(Counter(items).items(), reverse=True)
+
+
 def test_best_fit():
     r = random.Random(1)
-    items = [(r.randrange(1, 100), k) for k in range(300)]
-    p = sharding.best_fit_decreasing(items, 100)
-    loads, free = {}, {}
-    for size, k in sorted(items, key=lambda x: (-x[0], x[1])):
-        fits = [(100 - loads[b] - size, b) for b in loads if loads[b] + size <= 100]
+    items = [r.randrange(1, 100) for _ in range(300)]
+    loads: list[int] = []
+    placed = Counter()
+    for size in sorted(items, reverse=True):
+        fits = [(100 - load - size, b) for b, load in enumerate(loads) if load + size <= 100]
         b = min(fits)[1] if fits else len(loads)
-        loads[b] = loads.get(b, 0) + size
-        free[k] = b
-    assert p.bins == free and p.n_bins == len(loads)
-    assert sharding.best_fit_decreasing(items, 100, 3) is None
-    even = sharding.even_shards([(10, k) for k in range(40)], 8)
-    assert sorted(np.bincount(list(even.values()))) == [5] * 8
-    assert sharding.even_shards([], 3) == {}
-    hot = sharding.even_shards([(1000, "h"), *[(1, k) for k in range(90)]], 4)
-    assert sorted(np.bincount([v for k, v in hot.items() if k != "h"], minlength=4)) == [0, 30, 30, 30]
+        loads += [0] * (b == len(loads))
+        loads[b] += size
+        placed[size, b] += 1
+    got = Counter()
+    for size, _, n, b in sharding.pack_sizes(counted(items), 100):
+        got[size, b] += n
+    assert got == placed
+    assert sharding.pack_sizes(counted(items), 100, 3) is None and sharding.pack_sizes([(500, 2)], 100) == [(500, 0, 1, 0), (500, 1, 1, 1)]
+
+
+def test_even_plan():
+    def loads(items, shards):
+        out = [0] * shards
+        seen: dict = {}
+        for size, at, n, b in sharding.even_plan(counted(items), shards):
+            out[b] += size * n
+            seen.setdefault(size, []).append((at, n))
+        for size, n in Counter(items).items():  # every item once
+            ends = sorted(seen[size])
+            assert [a for a, _ in ends] == [sum(k for _, k in ends[:j]) for j in range(len(ends))] and sum(k for _, k in ends) == n
+        return sorted(out)
+
+    r = random.Random(3)
+    assert loads([10] * 40, 8) == [50] * 8
+    assert sharding.even_plan([], 3) == []
+    assert loads([1000, *[1] * 90], 4) == [30, 30, 30, 1000]
+    assert loads([7, 7, 7], 2) == [7, 14]
+    many = loads([r.randrange(20, 4000) for _ in range(5000)], 40)
+    assert many[-1] - many[0] <= 0.002 * many[0]
+    for shards in (1, 2, 5):
+        items = [r.choice([1, 2, 3, 50, 500]) for _ in range(60)]
+        assert sum(loads(items, shards)) == sum(items)
 
 
 def quality_rows(n=500):
