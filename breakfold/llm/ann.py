@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by a hierarchical k-means tree.
 
-The tree is fitted on a bounded sample; every row is dealt to the leaf that greedy descent
-finds.  A query visits leaves in best-bin-first order, from a priority queue of nodes by the
+The tree is fitted on a bounded sample, which grows with the table up to ``most_sample`` rows, and so do its leaves; every
+row is dealt to the leaf that greedy descent finds.  Beyond that bound leaves no longer get more but larger.  A query visits leaves in best-bin-first order, from a priority queue of nodes by the
 distance of their centres.  How many leaves it visits is calibrated: for a bounded number of
 calibration queries the true neighbours among all rows are found block by block, and the
-visits widen until the share of them that lies in visited leaves reaches the target.
+visits widen until the share of them that lies in visited leaves reaches the target.  A query goes on until its leaves
+hold enough rows, however few they hold each.
 
 Scoring is a join by leaf of queries and rows.  Leaves with many rows or many queries are cut
 into blocks on both sides, so that no task gets an unbounded block, and each block gives a
@@ -27,7 +28,9 @@ from .common import batch_of, small_batches
 
 @dataclass(frozen=True)
 class Params:
-    sample: int = 8192  # rows that the tree is fitted on, in the order of a hash of their id
+    sample: int = 8192  # rows that the tree is fitted on, in the order of a hash of their id, or one row in ``share`` if these are more
+    share: int = 64
+    most_sample: int = 131_072
     branch: int = 8
     leaf_rows: int = 512  # rows aimed at in a leaf
     calibration: int = 128  # queries that the visits are calibrated on
@@ -93,13 +96,14 @@ class Tree:
                     todo.append((number, own))
         return out
 
-    def leaves(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves of a query in best-bin-first order."""
-        queue, out = [(0.0, 0, "node", 0)], []
-        while queue and len(out) < most:
+    def leaves(self, q: np.ndarray, most: int, rows: np.ndarray | None = None, need: int = 0) -> list[int]:
+        """The first ``most`` leaves of a query in best-bin-first order, and more until they hold ``need`` rows."""
+        queue, out, held = [(0.0, 0, "node", 0)], [], 0
+        while queue and (len(out) < most or held < need):
             _, _, kind, number = heappop(queue)
             if kind == "leaf":
                 out.append(number)
+                held += int(rows[number]) if rows is not None else 0
                 continue
             centres, children = self.nodes[number]
             for d, (kind, child) in zip(((centres - q) ** 2).sum(1), children, strict=True):
@@ -107,8 +111,23 @@ class Tree:
         return out
 
 
-def _unit(flat: list) -> np.ndarray:
-    x = np.array(flat, np.float64)
+def _matrix(vectors, dims: int) -> np.ndarray:
+    """Vectors as rows, scaled by powers of two so that squares neither overflow nor vanish; short ones end in zeros.
+
+    Scaling by a power of two changes no digit, so cosines are those of the vectors as they are.
+    """
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    ends = np.cumsum(vectors.value_lengths().to_numpy(zero_copy_only=False))
+    lens = np.diff(ends, prepend=0)
+    if (lens == dims).all():
+        x = flat.reshape(-1, dims)
+    else:
+        x = np.zeros((len(lens), dims))
+        x[np.repeat(np.arange(len(lens)), lens), np.arange(len(flat)) - np.repeat(ends - lens, lens)] = flat
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -141,46 +160,45 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, params: Params = Pa
     """Each query's k nearest found: query_id, rank (from 1), vec_id, score (cosine).
 
     Queries are the rows whose id is divisible by ``every``; candidates are all rows with another id.
-    Rows take no part whose id or vector is null, whose vector is zero or holds a null or non-finite
-    component, or whose vector has another length than most.  Repeated rows are candidates each; with equal
-    scores the smaller id comes first.  An empty table gives an empty result.
+    Rows take no part whose id or vector is null, or whose vector is zero or holds a null or non-finite
+    component.  Vectors of another length than the longest count as if they ended in zeros.  Repeated rows are candidates
+    each; with equal scores the smaller id comes first.  An empty table gives an empty result.
     """
     spark, p = vectors.sparkSession, params
     small_batches(spark)
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id is not null and size(v) > 0")
     v = v.where(F.expr("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)"))
-    sizes = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not sizes:
-        return empty
-    # the number of rows and their most frequent length
-    dims, n = sizes[0]["d"], sizes[0]["count"]
-    v = v.where(F.size("v") == dims)
-    sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.sample).collect()
-    x = _unit([r.v for r in sample])
-    tree = Tree(x, min(max(1, n // p.leaf_rows), max(1, len(x) // 16)), p.branch, p.seed)
-    visits = _calibrate(v, tree, sample[: p.calibration], k, p)
+    dims, n = v.agg(F.max(F.size("v")), F.count(F.lit(1))).first()
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    size = min(max(p.sample, n // p.share), max(p.sample, p.most_sample))
+    sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).toArrow().combine_chunks()
+    raw = _matrix(pa.concat_arrays(sample["v"].chunks), dims)
+    tree = Tree(_unit(raw), min(max(1, n // p.leaf_rows), max(1, len(raw) // 16)), p.branch, p.seed)
+    visits = _calibrate(v, tree, sample["vec_id"].to_numpy()[: p.calibration], raw[: p.calibration], k, p)
     sent = spark.sparkContext.broadcast(tree)  # the sample bounds it
 
     def place(batches):
         for b in batches:
-            ids, vs = b.column("vec_id"), b.column("v").to_pylist()
-            leaf = sent.value.assign(_unit(vs)) if len(vs) else np.zeros(0, np.int64)
-            yield batch_of(["vec_id", "leaf", "x"], [pa.int64(), pa.int32(), pa.binary()], [ids, leaf.astype(np.int32), [np.array(r).tobytes() for r in vs]])
+            if b.num_rows:
+                x = _matrix(b.column("v"), dims)
+                yield batch_of(["vec_id", "leaf", "x"], [pa.int64(), pa.int32(), pa.binary()], [b.column("vec_id"), sent.value.assign(_unit(x)).astype(np.int32), [r.tobytes() for r in x]])
+
+    placed = v.mapInArrow(place, "vec_id long, leaf int, x binary")
+    # Blocks: the leaves' counts are a table bounded by the number of leaves.
+    row_counts = {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}
+    held = np.array([row_counts.get(leaf, 0) for leaf in range(tree.n_leaves)], np.int64)
 
     def visit(batches):
         for b in batches:
             rows: list[tuple] = []
-            for i, r in zip(b.column("vec_id").to_pylist(), b.column("v").to_pylist(), strict=True):
-                raw = np.array(r, np.float64)
-                unit = raw / np.sqrt((raw * raw).sum())
-                rows += [(i, leaf, raw.tobytes()) for leaf in sent.value.leaves(unit, visits)]
+            if b.num_rows:
+                x = _matrix(b.column("v"), dims)
+                for i, r, unit in zip(b.column("vec_id").to_pylist(), x, _unit(x), strict=True):
+                    rows += [(i, leaf, r.tobytes()) for leaf in sent.value.leaves(unit, visits, held, k + 1)]
             yield batch_of(["query_id", "leaf", "q"], [pa.int64(), pa.int32(), pa.binary()], [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], []])
 
-    placed = v.mapInArrow(place, "vec_id long, leaf int, x binary")
     asked = v.where(F.col("vec_id") % every == 0).mapInArrow(visit, "query_id long, leaf int, q binary")
-    # Blocks: the leaves' counts are a table bounded by the number of leaves.
-    row_counts = {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}
     ask_counts = {r.leaf: r["count"] for r in asked.groupBy("leaf").count().collect()}
     cuts = [(leaf, -(-row_counts.get(leaf, 1) // p.block), -(-ask_counts.get(leaf, 1) // p.block)) for leaf in range(tree.n_leaves)]
     cuts_table = F.broadcast(spark.createDataFrame(cuts, "leaf int, row_cuts int, ask_cuts int"))
@@ -202,10 +220,10 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, params: Params = Pa
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _calibrate(v: DataFrame, tree: Tree, sample: list, k: int, p: Params) -> int:
+def _calibrate(v: DataFrame, tree: Tree, q_ids: np.ndarray, q: np.ndarray, k: int, p: Params) -> int:
     """The least number of leaves by which the calibration queries reach the recall aimed at."""
     spark = v.sparkSession
-    q_ids, q = np.array([r.vec_id for r in sample], np.int64), np.array([r.v for r in sample], np.float64)
+    dims = q.shape[1]
     sent = spark.sparkContext.broadcast((q_ids, q, tree))
 
     def run(batches):
@@ -214,13 +232,13 @@ def _calibrate(v: DataFrame, tree: Tree, sample: list, k: int, p: Params) -> int
             if not b.num_rows:
                 continue
             x_ids = np.array(b.column("vec_id").to_pylist(), np.int64)
-            x = np.array(b.column("v").to_pylist(), np.float64)
+            x = _matrix(b.column("v"), dims)
             leaf_of = dict(zip(x_ids.tolist(), t.assign(_unit(x)).tolist(), strict=True))
             a, c, s = top_pairs(qs, ids, x, x_ids, k)
             yield batch_of(["query_id", "vec_id", "score", "leaf"], [pa.int64(), pa.int64(), pa.float64(), pa.int32()], [a, c, s, [leaf_of[i] for i in c]])
 
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = v.mapInArrow(run, TOP + ", leaf int").withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).collect()  # calibration * k rows
-    order = {int(i): {leaf: n for n, leaf in enumerate(tree.leaves(u, tree.n_leaves), 1)} for i, u in zip(q_ids, _unit(q.tolist()), strict=True)}
+    order = {int(i): {leaf: n for n, leaf in enumerate(tree.leaves(u, tree.n_leaves), 1)} for i, u in zip(q_ids, _unit(q), strict=True)}
     needed = sorted(order[r.query_id][r.leaf] for r in best)
     return needed[min(len(needed) - 1, int(np.ceil(p.recall * len(needed))) - 1)] if needed else tree.n_leaves

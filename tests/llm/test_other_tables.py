@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -45,10 +46,23 @@ def test_nearest_edges(spark):
     bad = [(50, None), (100, []), (150, [0.0, 0.0]), (200, [1.0, None]), (250, [float("nan"), 1.0]), (300, [float("inf"), 1.0]), (None, [1.0, 1.0]), (350, [1.0, 2.0, 3.0])]
     good = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])]
     got = sorted(tuple(r) for r in ann.nearest(spark.createDataFrame(bad + good, schema)).collect())
-    assert [(r[0], r[1], r[2]) for r in got] == [(0, 1, 1), (0, 2, 2)] and abs(got[0][3] - 1) < 1e-12
+    assert [(r[0], r[1], r[2]) for r in got] == [(0, 1, 1), (0, 2, 350), (0, 3, 2), (350, 1, 2), (350, 2, 0), (350, 3, 1)] and abs(got[0][3] - 1) < 1e-12
     assert ann.nearest(spark.createDataFrame([], schema)).count() == 0
     assert ann.nearest(spark.createDataFrame(bad[:2], schema)).count() == 0
     assert ann.nearest(spark.createDataFrame([(50, [1.0])], schema)).count() == 0
+    huge = [(0, [3e200, 4e200]), (1, [4e-200, 3e-200]), (2, [-1e308, 1e300]), (50, [5e-324, 5e-324]), (51, [0.3, 0.4])]
+    got = {(r.query_id, r.vec_id): r.score for r in ann.nearest(spark.createDataFrame(huge, "vec_id long, embedding array<double>")).collect()}
+    assert len(got) == 8 and abs(got[0, 1] - 0.96) < 1e-15 and abs(got[0, 51] - 1) < 1e-15 and abs(got[50, 1] - 7 / 50**0.5) < 1e-15 and abs(got[0, 2] + 0.6) < 1e-7
+
+
+def test_nearest_of_a_lonely_query_has_all_its_rows(spark):
+    """Tight clusters and few visits: an isolated query goes on until its leaves hold enough rows."""
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(size=(1, 8)) + 0.001 * rng.normal(size=(60, 8)) for _ in range(10)] + [100 * np.eye(8)[:2]])
+    rows = [(i * 3 + 1, v.tolist()) for i, v in enumerate(x[:-2])] + [(5000, x[-2].tolist()), (5050, x[-1].tolist())]
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), params=ann.Params(leaf_rows=8, sample=602, recall=0.5)).collect()
+    n = Counter(r.query_id for r in out)
+    assert n[5000] == n[5050] == 5 and set(n.values()) == {5}
 
 
 def page(main, host="h.example", nav="Home About", foot="Copyright all rights reserved by us here now then"):
