@@ -29,9 +29,9 @@ def info_map(info: Column) -> Column:
 
 
 def info_value(info: Column, key: str) -> Column:
-    """One INFO value (the last of equal keys) without building the map."""
-    hits = F.filter(F.split(info, ";"), lambda e: F.startswith(e, F.lit(f"{key}=")))
-    return F.substring(F.get(hits, F.size(hits) - 1), len(key) + 2, 1_000_000_000)
+    """One INFO value (the last of equal keys) without building the map or a list of entries; null without the key."""
+    marked, mark = F.concat(F.lit(";"), info), f";{key}="
+    return F.when(F.contains(marked, F.lit(mark)), F.split_part(F.substring_index(marked, mark, -1), F.lit(";"), F.lit(1)))
 
 
 def format_map(fmt: Column, samples: Column) -> Column:
@@ -42,8 +42,8 @@ def format_map(fmt: Column, samples: Column) -> Column:
 
 def confidence(ci: Column) -> tuple[Column, Column]:
     """A confidence interval's two numbers, absolute; parentheses are dropped and a single number counts twice."""
-    parts = F.split(F.regexp_replace(ci, "[()]", ""), ",")
-    low, high = F.abs(F.get(parts, F.lit(0)).try_cast("long")), F.abs(F.get(parts, F.lit(1)).try_cast("long"))
+    plain = F.translate(ci, "()", "")
+    low, high = (F.abs(F.split_part(plain, F.lit(","), F.lit(n)).try_cast("long")) for n in (1, 2))
     return low, F.coalesce(high, low)
 
 
@@ -59,18 +59,22 @@ def ci_columns(info: Column) -> list[Column]:
     ]
 
 
-def _single_brackets(alt: Column) -> Column:
-    """Doubled brackets at the start: each kind, in this order, is replaced wherever it stands."""
-    for pair, one in (("[]", "]"), ("[[", "["), ("]]", "]"), ("][", "[")):
-        alt = F.when(F.startswith(alt, F.lit(pair)), F.replace(alt, F.lit(pair), F.lit(one))).otherwise(alt)
-    return alt
+#: Doubled brackets at the start of an ALT and what replaces them, in this order.
+BRACKETS = (("[]", "]"), ("[[", "["), ("]]", "]"), ("][", "["))
+
+
+def _single_brackets(df: DataFrame, alt: str) -> DataFrame:
+    """df with doubled brackets at the start of ``alt`` made single; each kind, in this order, is replaced wherever it stands."""
+    for pair, one in BRACKETS:
+        df = df.withColumn(alt, F.when(F.startswith(F.col(alt), F.lit(pair)), F.replace(F.col(alt), F.lit(pair), F.lit(one))).otherwise(F.col(alt)))
+    return df
 
 
 def split_columns(lines: DataFrame, line: str = "line") -> DataFrame:
     """Raw columns of data lines; header and blank lines go."""
-    stripped = F.regexp_replace(F.col(line), r"^\s+|\s+$", "")
-    rows = lines.withColumn("__s", stripped).where((F.length("__s") > 0) & ~F.startswith(F.col("__s"), F.lit("#")))
-    c = F.split("__s", "\t")
+    rows = lines.withColumn("__s", F.btrim(F.col(line), F.lit(" \t\n\r\x0b\x0c"))).where((F.length("__s") > 0) & ~F.startswith(F.col("__s"), F.lit("#")))
+    # One split for all columns: a projection whose result is used many times stays a step of its own.
+    rows, c = rows.withColumn("__c", F.split("__s", "\t")), F.col("__c")
     at = lambda i: F.get(c, F.lit(i))
     return rows.select(
         "*",
@@ -84,7 +88,7 @@ def split_columns(lines: DataFrame, line: str = "line") -> DataFrame:
         F.coalesce(at(7), F.lit("")).alias("info"),
         at(8).alias("fmt"),
         F.when(F.size(c) > 9, F.slice(c, 10, F.greatest(F.size(c) - 9, F.lit(1)))).otherwise(F.array().cast("array<string>")).alias("samples"),
-    ).drop("__s")
+    ).drop("__s", "__c")
 
 
 def parse_calls(lines: DataFrame, line: str = "line", keep_swapped_end: bool = False) -> DataFrame:
@@ -100,9 +104,12 @@ def parse_calls(lines: DataFrame, line: str = "line", keep_swapped_end: bool = F
     end, length = end_s.try_cast("long"), F.abs(len_s.try_cast("long"))
     chrom = normalize_chrom(F.col("raw_chrom"))
     tra = F.contains(alt, F.lit("TRA"))
-    bnd = ~tra & alt.rlike(r"[\[\]]")
+    bnd = ~tra & (F.contains(alt, F.lit("[")) | F.contains(alt, F.lit("]")))
     df = df.withColumns({"__pos": pos, "__chrom": chrom, "__tra": tra, "__bnd": bnd, "__end": end, "__len": length, "__chr2": info_value(info, "CHR2"), "__svtype": info_value(info, "SVTYPE")})
-    mate = F.get(F.split(_single_brackets(alt), r"[\[\],]"), F.lit(1))
+    # The mate is the second part of a bracketed ALT; others have none.
+    df = _single_brackets(df.withColumn("__alt", F.when(F.col("__bnd"), alt)), "__alt")
+    df = df.withColumn("__mate", F.get(F.split(F.translate("__alt", "[]", ",,"), ","), F.lit(1)))
+    mate = F.col("__mate")
     df = df.withColumns({"__mchr": normalize_chrom(F.regexp_extract(mate, r"^(.*):", 1)), "__mpos": F.regexp_extract(mate, r"([^:]*)$", 1).try_cast("long")})
     p, e, t2 = F.col("__pos"), F.col("__end"), F.col("__chr2")
     # Intrachromosomal: END, else SVLEN, else the position itself; then in order.
@@ -110,8 +117,8 @@ def parse_calls(lines: DataFrame, line: str = "line", keep_swapped_end: bool = F
     df = df.withColumns({"__b0": b0}).withColumns({"__lo": F.least("__pos", "__b0"), "__hi": F.greatest("__pos", "__b0")})
     bases = alt.rlike("^[ATCGN]*$")
     inserted = F.length(alt) > F.length(ref)
-    own = F.regexp_replace(alt, "^[<>]+|[<>]+$", "")
-    symbolic = F.startswith(alt, F.lit("<")) & F.endswith(alt, F.lit(">"))
+    own = F.rtrim(F.btrim(alt, F.lit("<")), F.lit(">"))
+    symbolic = F.contains(alt, F.lit("<")) & F.contains(alt, F.lit(">"))
     kind = (
         F.when(symbolic, F.when(F.contains(own, F.lit("DUP")), "DUP").otherwise(own))
         .when(F.col("__svtype").isNotNull(), F.col("__svtype"))
