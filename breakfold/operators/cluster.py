@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from breakfold.operators.staging import in_chunks, running_count
+from breakfold.operators.staging import in_chunks, running_count, staged
 
 PART = ["var", "chrA", "chrB"]
 
@@ -38,7 +38,7 @@ def dbscan_xy(df: DataFrame, epsilon, min_pts: int, part: list[str] = PART) -> D
 
     (x_label, y_label) names a cluster.  Rows are ordered by posA, posB, idx, and inside a run by posB and then that order.
     """
-    by_x = run_labels(df, part, ["posA", "posB", "idx"], "posA", epsilon, min_pts, "x_label")
+    by_x = staged(run_labels(df, part, ["posA", "posB", "idx"], "posA", epsilon, min_pts, "x_label"))
     in_run = by_x.where("x_label is not null")
     by_y = run_labels(in_run, [*part, "x_label"], ["posB", "posA", "idx"], "posB", epsilon, min_pts, "y_label")
     return by_y.unionByName(by_x.where("x_label is null").withColumn("y_label", F.lit(None).cast("long")))

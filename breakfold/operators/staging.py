@@ -43,17 +43,24 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
 
 
 def numbered(rows: DataFrame, order: list, name: str, first: int = 0) -> DataFrame:
     """rows with ``name`` counted on from ``first`` in the given order, gapless.
 
     Rows are sorted by ranges and written once with their range and place in it; ranges are sampled anew each time a plan
-    runs, so counts and numbers must come from the same copy.  Each range starts behind those before it.
+    runs, so counts and numbers must come from the same copy.  Each range starts behind those before it.  What is sorted is
+    itself a written copy, as sampling runs the plan once more.
     """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    first_copy = vars(rows).get("staged_path")
+    source = rows if first_copy else staged(rows)
+    ranged = source.repartitionByRange(*order).sortWithinPartitions(*order)
     kept = staged(ranged.withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    if not first_copy:
+        _delete(rows.sparkSession, source.staged_path)
     sizes = kept.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
     starts = sizes.select("__p", (F.coalesce(before, F.lit(0)) + first).alias("__start"))

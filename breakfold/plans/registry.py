@@ -285,20 +285,20 @@ def annotate_bedpe(spark, d):
       WHERE q.chrA <> q.chrB OR ({RATIO} >= 0.6) GROUP BY 1),
     g AS (SELECT q.idx, count(DISTINCT d.sample) AS occ FROM calls q JOIN store d ON {PAIR} AND q.var = d.var AND abs(q.posA - d.posA) <= 500 AND abs(q.posB - d.posB) <= 500
       WHERE q.chrA <> q.chrB OR ({RATIO} >= 0.9) GROUP BY 1)
-    SELECT c.idx AS qid, 'X' || CASE WHEN h.occ > 0 THEN ';OCC=' || CAST(h.occ AS STRING) ELSE '' END || CASE WHEN g.occ > 0 THEN ';NEAR=' || CAST(g.occ AS STRING) ELSE '' END AS info
-    FROM calls c LEFT JOIN h USING (idx) LEFT JOIN g USING (idx)""",
+    SELECT c.idx AS qid, 'X' || CASE WHEN h.occ > 0 THEN ';OCC=' || h.occ || ';FRQ=' || h.occ / n.n ELSE '' END || CASE WHEN g.occ > 0 THEN ';NEAR=' || g.occ || ';NFRQ=' || g.occ / n.n ELSE '' END AS info
+    FROM calls c LEFT JOIN h USING (idx) LEFT JOIN g USING (idx), (SELECT count(DISTINCT sample) AS n FROM store) n""",
 )
 def annotate_chain(spark, d):
     s = _store(spark, d)
 
-    def step(tag, overlap, distance):
+    def step(occ_tag, frq_tag, overlap, distance):
         def run(df):
             out = annotate.annotate_table(df, s, overlap, distance)
-            return out.withColumn("info", F.when(F.col("occ") > 0, F.concat("info", F.lit(f";{tag}="), F.col("occ").cast("string"))).otherwise(F.col("info"))).drop("occ", "frq")
+            return out.withColumn("info", annotate.info_with(F.col("info"), F.col("occ"), F.col("frq"), occ_tag, frq_tag)).drop("occ", "frq")
 
         return run
 
-    return annotate.chain(_q(spark, d).withColumn("info", F.lit("X")), [step("OCC", 0.6, 10_000), step("NEAR", 0.9, 500)]).select("qid", "info")
+    return annotate.chain(_q(spark, d).withColumn("info", F.lit("X")), [step("OCC", "FRQ", 0.6, 10_000), step("NEAR", "NFRQ", 0.9, 500)]).select("qid", "info")
 
 
 # Clustering and export

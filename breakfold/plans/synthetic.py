@@ -44,7 +44,10 @@ SOURCES = ["alpha", "beta", "gamma"]
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus")
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:  # a file of one row group is one task otherwise
+        df = df.repartition(cores)
     for step in STEPS:
         df = df.withColumns({name: F.expr(e) for name, e in step.items()})
     return df.select("idx", "sample", "var", "chrA", "posA", "chrB", "posB", "gt", "filter", "k", "c", "s1", "s2", "pa", "pb")
