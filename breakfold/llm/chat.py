@@ -36,11 +36,13 @@ TYPES = {
 def json_string(c: Column) -> Column:
     """A JSON string: quotes, backslashes and control characters escaped, all else as it is."""
     c = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    for raw, name in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
+    for raw, name in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         c = F.replace(c, F.lit(raw), F.lit(name))
+    rare = F.replace(F.replace(c, F.lit("\b"), F.lit("\\b")), F.lit("\f"), F.lit("\\f"))
     for code in [*range(0, 8), 11, *range(14, 32)]:
-        c = F.replace(c, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
-    return F.concat(F.lit('"'), c, F.lit('"'))
+        rare = F.replace(rare, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+    # Few texts hold any of the others, and looking once is cheaper than replacing each.
+    return F.concat(F.lit('"'), F.when(c.rlike(r"[\x00-\x1f]"), rare).otherwise(c), F.lit('"'))
 
 
 def _plain_json(value) -> str:

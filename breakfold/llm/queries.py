@@ -29,15 +29,16 @@ SCHEMAS = {
 def with_calls(conversations: DataFrame) -> DataFrame:
     """All messages of the conversations, a call after each of the user's and a result for each of the assistant's.
 
-    The conversations hold no tool calls, so these are derived: a user's turn searches for its text, and an assistant's text is
-    what the search of the turn before found.  Results stand before their calls.
+    The conversations hold no tool calls, so these are derived: a user's turn searches for itself by place and length, and the
+    search of the turn before has found an assistant's turn, by its text's digest.  Results stand before their calls.
     """
     c = conversations.select("conv_id", (F.col("turn") * 4).cast("long").alias("turn"), "role", "text", F.col("turn").alias("t"))
     name = lambda t: F.concat(F.lit("c"), t.cast("string"))
     words = F.coalesce("text", F.lit(""))
-    wanted = F.struct(words.alias("query"), F.col("t").alias("limit"), F.struct((F.col("t") > 0).alias("strict"), F.array(F.lit("title"), F.lit("text")).alias("fields")).alias("filter"))
+    query = F.concat(F.lit('turn "'), F.col("t").cast("string"), F.lit('" of '), F.col("conv_id").cast("string"), F.lit(": "), F.length(words).cast("string"))
+    wanted = F.struct(query.alias("query"), F.col("t").alias("limit"), F.struct((F.col("t") > 0).alias("strict"), F.array(F.lit("title"), F.lit("text")).alias("fields")).alias("filter"))
     calls = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit("assistant").alias("role"), F.to_json(F.struct(name(F.col("t")).alias("tool_call_id"), F.lit("search").alias("name"), wanted.alias("arguments"))).alias("text"))
-    results = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 4).alias("turn"), F.lit("tool").alias("role"), F.to_json(F.struct(name(F.col("t") - 1).alias("tool_call_id"), words.alias("content"))).alias("text"))
+    results = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 4).alias("turn"), F.lit("tool").alias("role"), F.to_json(F.struct(name(F.col("t") - 1).alias("tool_call_id"), F.md5(words).alias("content"))).alias("text"))
     return c.drop("t").unionByName(calls).unionByName(results)
 
 
@@ -132,14 +133,14 @@ def oracle_sql() -> dict[str, str]:
             with c as (select conv_id, turn as t, turn * 4 as turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations),
             calls as (select *, turn + 1 as own, 'c' || t as id from c where role = 'user'),
             first_call as (select conv_id, id, min(own) as call_turn from calls group by all),
-            results as (select conv_id, turn - 4 as turn, 'c' || (t - 1) as id, '{"tool_call_id":"c' || (t - 1) || '","content":' || to_json(text) || '}' as text from c where role = 'assistant'),
+            results as (select conv_id, turn - 4 as turn, 'c' || (t - 1) as id, '{"tool_call_id":"c' || (t - 1) || '","content":"' || md5(text) || '"}' as text from c where role = 'assistant'),
             answered as (select distinct conv_id, id from results),
             m as (
                 select conv_id, turn, role, 'text' as kind, null::varchar as tool_call_id, false as linked, turn as order_turn, 0 as order_rank, '' as errors,
                        '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' as message from c
                 union all
                 select conv_id, own, 'assistant', 'call', id, a.id is not null, own, 0, case when t > 4 then 'bad limit' else '' end,
-                       '{"arguments":{"filter":{"fields":["title","text"],"strict":' || (t > 0)::varchar || '},"limit":' || t || ',"query":' || to_json(text) || '},"name":"search","role":"assistant","tool_call_id":"' || id || '"}'
+                       '{"arguments":{"filter":{"fields":["title","text"],"strict":' || (t > 0)::varchar || '},"limit":' || t || ',"query":"turn \\"' || t || '\\" of ' || conv_id || ': ' || length(text) || '"},"name":"search","role":"assistant","tool_call_id":"' || id || '"}'
                 from calls left join answered a using (conv_id, id)
                 union all
                 select conv_id, turn, 'tool', 'result', id, call_turn is not null, coalesce(call_turn, turn), (call_turn is not null)::int, case when call_turn is null then 'no call' else '' end,
