@@ -39,7 +39,7 @@ from .words import U, WordHashes, runs, sliding_min, words
 @dataclass(frozen=True)
 class Params:
     width: int = 50
-    fan: int = 3  # runs of a level that are compacted into one of the next
+    fan: int = 2  # runs of a level that are compacted into one of the next
 
     @property
     def gram(self) -> int:
@@ -223,17 +223,17 @@ def remove_repeats(batch: DataFrame, index: Index, id_col: str = "doc_id", text_
     found = seen
     if history:
         # Earlier texts aren't shuffled: they are read by bucket and met with the few ids that are asked for.
-        asked = cut(shared.where("single is not null").groupBy(F.col("single").alias("doc_id")).agg(F.collect_set("anchor").alias("shared")))
+        asked = shared.where("single is not null").groupBy(F.col("single").alias("doc_id")).agg(F.collect_set("anchor").alias("shared"))
         for past in history:
             again = past.where(f"text is not null and n_words >= {p.width} and doc_id is not null").select("doc_id", "text").join(asked.hint("shuffle_hash"), "doc_id")
             found = found.unionByName(again.select("doc_id", "text", "shared").mapInArrow(emit, of_windows))
     earlier = index.runs("windows")
     new = index.write("windows", found.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
     repeated = _with_older(new, earlier, ["w1", "w2"]).where("least(first, old_first) < greatest(last, old_last)")
-    least = cut(repeated.select("w1", "w2", F.least("first", "old_first").alias("first")))
-    index.compact("windows")
+    least = repeated.select("w1", "w2", F.least("first", "old_first").alias("first"))
     hits = cut(seen.join(least, ["w1", "w2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("w1").alias("gone")))
-    discard(marked, shared, seen, least)
+    index.compact("windows")
+    discard(marked, shared, seen)
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.string()] * with_text
 
@@ -261,7 +261,7 @@ def remove_repeats(batch: DataFrame, index: Index, id_col: str = "doc_id", text_
     return done.unionByName(rest)
 
 
-def ingest(docs: DataFrame, index: Index, batches: int = 4, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, with_row: bool = False) -> DataFrame:
+def ingest(docs: DataFrame, index: Index, batches: int = 3, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, with_row: bool = False) -> DataFrame:
     """remove_repeats of a whole table, taken in batches of about equal numbers of rows by rising id.
 
     Null ids go with the first batch.  Each batch is met with the runs of those before; what is written and shuffled

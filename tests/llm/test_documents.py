@@ -241,8 +241,8 @@ def test_substring_meets_history_in_the_runs(spark):
     passage, fifty = line(60), line(50)
     rows = [(k, f"{line(30)} {passage if k % 3 == 0 else line(10)} {line(30)} {fifty if k in (2, 7, 23) else ''}") for k in range(24)]
     index, got = substring.Index(spark), {}
-    for lo in range(0, 24, 4):
-        out = substring.remove_repeats(frame(spark, rows[lo : lo + 4]), index)
+    for lo in range(0, 24, 8):
+        out = substring.remove_repeats(frame(spark, rows[lo : lo + 8]), index)
         got |= {x[0]: tuple(x[1:]) for x in out.collect()}
     assert got == removed_by_scan(rows, 50)
     assert got[7][1] == 50 and got[23][1] == 50 and got[9][1] == 60
