@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import tempfile
@@ -59,10 +60,10 @@ def _end(spark: SparkSession, path: str) -> None:
         pass  # the session was stopped first; its shared folder is the cluster's to clean
 
 
-def cut(df: DataFrame, clean: bool = True) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut: written as Parquet to the shared checkpoint folder and read again.
 
-    Shuffle files of the jobs behind it aren't needed any more; with ``clean`` a collection lets Spark's cleaner drop them.
+    Shuffle files of the jobs behind it aren't needed any more; a collection lets Spark's cleaner drop them.
     """
     spark = df.sparkSession
     path = f"{work_folder(spark)}/cut-{uuid.uuid4().hex}"
@@ -70,15 +71,17 @@ def cut(df: DataFrame, clean: bool = True) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     del df
-    if clean:
-        drop_shuffles(spark)
+    gc.collect()
+    spark._jvm.System.gc()
     return out
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
+def give_back() -> None:
+    """Returns memory that the driver's Python no longer uses to the system, where the C library can."""
     gc.collect()
-    spark._jvm.System.gc()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def discard(*tables: DataFrame) -> None:
@@ -106,7 +109,8 @@ def with_least(rows: DataFrame, key: str, value: str, name: str, salts: int = 16
     parts = rows.groupBy(key, "__s").agg(F.min(value).alias("__m"))
     whole = parts.groupBy(key).agg(F.min("__m").alias(name), F.expr("bit_or(shiftleft(1L, __s))").alias("__p"))
     spread = whole.select(key, name, F.explode(F.expr(f"filter(sequence(0, {salts - 1}), b -> (shiftright(__p, b) & 1) = 1)")).alias("__s"))
-    return rows.join(spread, [key, "__s"]).drop("__s")
+    # The same join at every size: a broadcast that small tables get would hide what large ones send.
+    return rows.join(spread.hint("merge"), [key, "__s"]).drop("__s")
 
 
 def without_blanks(text: Column) -> Column:

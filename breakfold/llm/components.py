@@ -24,7 +24,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     before = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _stars(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Written, as the small stars read it twice.
+        large = cut(_stars(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         small = _stars(large)
         e = cut(small.select("u", "m").unionByName(small.select(F.col("v").alias("u"), "m")).where("u <> m").select("u", F.col("m").alias("v")).distinct())
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.expr("cast(xxhash64(u, v) as decimal(38,0))"))).first())

@@ -42,7 +42,7 @@ class Params:
     percent: int = 85  # links have 100 * intersection >= percent * union
     rows: int = 5
     bands: int = 24
-    block: int = 512
+    block: int = 128
     slack: float = 0.2  # signatures may agree by so much less than the similarity: six standard deviations
 
     @property
@@ -111,7 +111,7 @@ def _clusters(n: int, linked, known: np.ndarray) -> np.ndarray:
 def _links(rows: DataFrame, key: str, payload: DataFrame, star, names: list[str], block: int) -> DataFrame:
     """Edges (a, b) whose components are those of all links between rows (key, doc_id) of equal keys; payload has doc_id and what is compared."""
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__m"), F.min("doc_id").alias("__centre")).where("__m > 1").select(key, "__centre", F.expr(f"cast(ceil(__m / {block}) as int)").alias("__n"))
-    members = rows.join(sizes, key).withColumn("__i", F.expr("cast(pmod(xxhash64(doc_id, 5), __n) as int)"))
+    members = rows.join(sizes.hint("merge"), key).withColumn("__i", F.expr("cast(pmod(xxhash64(doc_id, 5), __n) as int)"))
     every = F.explode(F.expr("sequence(0, __n - 1)"))
     centres = members.where("doc_id = __centre and __n > 1").withColumn("__own", F.col("__i")).withColumn("__i", every).where("__i <> __own").drop("__own")
     first = members.unionByName(centres).select(key, "__i", F.lit(-1).alias("__j"), "doc_id", F.lit(False).alias("known"))
@@ -294,6 +294,10 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
 
 
 def keep_first(docs: DataFrame, params: Params, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with the least id of their group, with all their columns."""
+    """The rows of docs with the least id of their group, with all their columns.
+
+    Rows with a null id stay, and so do all rows repeated with an id that stays: they aren't told apart here.  An empty
+    table gives an empty result.
+    """
     gone = near_duplicates(docs, params, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone.hint("merge"), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
