@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, small_batches
+from .common import batch_of, give_back, small_batches
 
 
 @dataclass(frozen=True)
@@ -219,7 +219,10 @@ def fit_sample(docs: DataFrame, labels: DataFrame, target: str, params: Params =
     wanted = docs.sparkSession.createDataFrame(sorted(set(chosen)), "id long, y int")  # most_rows at most
     rows = ids.join(F.broadcast(wanted), "id").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r.id).encode()), r.id, r.y, r.text or ""))
-    return fit([r.text for r in rows], [r.y for r in rows], params)
+    model = fit([r.text for r in rows], [r.y for r in rows], params)
+    del rows
+    give_back()
+    return model
 
 
 class Scorer:

@@ -1,5 +1,7 @@
 """The pipeline on the smallest tables, its stages against brute force on their own inputs."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -76,6 +78,32 @@ def test_run(spark, staged):
     assert sorted(map(tuple, out.select(*key).collect())) == sorted(map(tuple, staged[-1][1].select(*key).collect()))
 
 
+def test_stages_take_nulls_repeated_rows_and_empty_tables(spark):
+    r = random.Random(1)
+    line = lambda n: " ".join("".join(r.choice("aeioulnrst") for _ in range(5)) for _ in range(n))
+    shared, text = line(60), line(80)
+    rows = [(None, text, None, None, None), (None, None, None, None, None), (1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, text + " more", "en", "s", 1), (3, line(20) + " " + shared, None, "s", None)]
+    rows += [(4, shared + " " + line(20), "en", None, 7), (4, shared + " " + line(20), "en", None, 7), (5, "", "", "", 0), (6, "x " * 3000, "en", "s", 6000)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for kept in (rows, []):
+        docs = spark.createDataFrame(kept, schema)
+        for _, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            got = out.collect()
+            assert out.columns == docs.columns or stage is corpus_pipeline.packed
+            assert len(got) <= len(kept) or stage is corpus_pipeline.packed
+            docs = spark.createDataFrame(got, out.schema) if stage is not corpus_pipeline.packed else out
+            if stage is corpus_pipeline.good:
+                docs = spark.createDataFrame(kept, schema)  # what the others get doesn't depend on the model
+            if stage is corpus_pipeline.unique and kept:
+                assert sorted(x.doc_id for x in got if x.doc_id) == [1, 2, 3, 4, 4, 5, 6]  # the two texts of id 4 differ; empty texts are one group
+            if stage is corpus_pipeline.distinct and kept:
+                assert 2 not in {x.doc_id for x in got} and {1, 3, 4, 6} <= {x.doc_id for x in got}
+            if stage is corpus_pipeline.without_repeats and kept:
+                texts = {x.doc_id: x.text for x in got}
+                assert shared in texts[3] and shared not in texts[4]
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
