@@ -83,7 +83,7 @@ class Index:
     def write(self, kind: str, rows: DataFrame, level: int = 0) -> DataFrame:
         """A new run, which other runs of its kind can be joined with bucket by bucket."""
         name = f"run_{uuid.uuid4().hex}"
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        n = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 50_000)  # Spark takes 100,000 buckets at most
         out = rows.write.bucketBy(n, *KEYS[kind])
         if kind != "texts":  # texts are met by hash, so they need no order
             out = out.sortBy(*KEYS[kind])
