@@ -1,77 +1,46 @@
 """Annotation of query calls with occurrence and frequency in a database of calls.
 
-Query rows have qid, chrA, chrB, posA, posB, event_type.  All three databases are joined by a
-band on posA; the residual tells which candidates count.
+Query rows have qid, chrA, chrB, posA, posB, event_type.  All three databases are joined by cells of near positions.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from breakfold.functions.overlap import breakpoint_distance, overlap_ratio, similarity, within_box
-from breakfold.operators.bandjoin import band_join
+from breakfold.operators.celljoin import Rule, best_match, matched_numbers
 
 #: Genotypes of a call-set database that don't count as carriers.
 NOT_CARRIED = ("0|0", "0/0")
-Q = ["qid", "chrA", "chrB", "posA", "posB", "event_type"]
-
-
-def _pairs(query: DataFrame, db: DataFrame, distance: int, keys: list[str], extra: list[str], residual: Column) -> DataFrame:
-    right = db.select(*[c for c in ("chrA", "chrB", "event_type") if c in keys], F.col("posA").alias("dA"), F.col("posB").alias("dB"), *extra)
-    return band_join(query.select(*Q), right, keys, "posA", "dA", distance, "inner", residual, "posB", "dB")
-
-
-def _cols():
-    return [F.col(c) for c in ("posA", "posB", "dA", "dB")]
-
-
-def table_matches(query: DataFrame, store: DataFrame, overlap: float = 0.6, bnd_distance: int = 10_000) -> DataFrame:
-    """(qid, sample) of stored calls that match: same type, inside the box, and on one chromosome an overlap of
-    at least ``overlap`` that isn't exactly 0.  Insertions have no rule of their own here."""
-    a, b, c, d = _cols()
-    ratio = overlap_ratio(a, b, c, d)
-    hit = within_box(a, b, c, d, bnd_distance) & ((F.col("chrA") != F.col("chrB")) | F.coalesce((ratio >= overlap) & (ratio != 0), F.lit(False)))
-    db = store.withColumnRenamed("var", "event_type") if "var" in store.columns else store
-    return _pairs(query, db, bnd_distance, ["chrA", "chrB", "event_type"], ["sample"], hit).select("qid", "sample")
 
 
 def annotate_table(query: DataFrame, store: DataFrame, overlap: float = 0.6, bnd_distance: int = 10_000, max_frq: float = 1.0, db_size: int | None = None) -> DataFrame:
     """query with occ (distinct samples of matching stored calls) and frq (of all samples).
 
-    Rows whose frequency is above max_frq go.  An empty store is an error.
+    Matches are of the same type, inside the box, and on one chromosome have an overlap of at least ``overlap`` that isn't
+    exactly 0.  Insertions have no rule of their own here.  Rows whose frequency is above max_frq go.  An empty store is an error.
     """
     n = db_size if db_size is not None else store.agg(F.count_distinct("sample")).first()[0]
     if not n:
         raise ValueError("the store holds no samples")
-    hits = table_matches(query, store, overlap, bnd_distance).groupBy("qid").agg(F.count_distinct("sample").alias("occ"))
-    out = query.join(hits, "qid", "left").withColumn("occ", F.coalesce("occ", F.lit(0).cast("long")))
+    db = store.withColumnRenamed("var", "event_type") if "var" in store.columns else store
+    by_name = Window.orderBy("__name")  # one row a sample
+    names = store.select(F.col("sample").alias("__name")).distinct().withColumn("number", F.row_number().over(by_name) - 1)
+    db = db.join(F.broadcast(names), F.col("sample") == F.col("__name"))
+    out = matched_numbers(query, db, Rule(overlap, bnd_distance, touching=False), "occ")
     return out.withColumn("frq", F.col("occ") / F.lit(n)).where(F.col("frq") <= max_frq)
 
 
-def call_matches(query: DataFrame, db: DataFrame, extra: list[str], overlap: float, bnd_distance: int, ins_distance: int, no_var: bool) -> DataFrame:
-    """Pairs of query and database calls: inside the box, and then by the kind of the query call.
-
-    Between chromosomes the box is the rule; insertions need both ends within ins_distance; others overlap.
-    """
-    a, b, c, d = _cols()
-    ins = F.contains(F.col("event_type"), F.lit("INS"))
-    hit = within_box(a, b, c, d, bnd_distance) & F.when(F.col("chrA") != F.col("chrB"), True).when(ins, breakpoint_distance(a, b, c, d) <= ins_distance).otherwise(F.coalesce(overlap_ratio(a, b, c, d) >= overlap, F.lit(False)))
-    return _pairs(query, db, bnd_distance, ["chrA", "chrB"] + ["event_type"] * (not no_var), extra, hit)
-
-
 def annotate_genotypes(query: DataFrame, db: DataFrame, n_samples: int, overlap: float = 0.6, bnd_distance: int = 10_000, ins_distance: int = 50, no_var: bool = False) -> DataFrame:
     """query with occ and frq from a call-set database: db has genotypes ``gts``, an array with one of each sample column.
 
     occ counts the sample columns that carry any matching call.
     """
-    pairs = call_matches(query, db, ["gts"], overlap, bnd_distance, ins_distance, no_var)
-    carried = pairs.select("qid", F.posexplode("gts").alias("col", "gt")).where(~F.col("gt").isin(*NOT_CARRIED))
-    hits = carried.groupBy("qid").agg(F.count_distinct("col").alias("occ"))
-    out = query.join(hits, "qid", "left").withColumn("occ", F.coalesce("occ", F.lit(0).cast("long")))
-    return out.withColumn("frq", F.col("occ") / F.lit(n_samples))
+    rule = Rule(overlap, bnd_distance, ins_distance, no_var)
+    carried = db.select(*rule.keys, "posA", "posB", F.posexplode("gts").alias("number", "gt")).where(~F.col("gt").isin(*NOT_CARRIED))
+    return matched_numbers(query, carried, rule, "occ").withColumn("frq", F.col("occ") / F.lit(n_samples))
 
 
 def annotate_best(query: DataFrame, db: DataFrame, overlap: float = 0.6, bnd_distance: int = 10_000, ins_distance: int = 50, no_var: bool = False) -> DataFrame:
@@ -82,11 +51,7 @@ def annotate_best(query: DataFrame, db: DataFrame, overlap: float = 0.6, bnd_dis
     """
     first = db.groupBy("chrA", "chrB", "event_type").agg(F.min("db_ord").alias("type_ord")).withColumnsRenamed({"chrA": "tA", "chrB": "tB", "event_type": "tT"})
     ranked = db.join(first, (F.col("chrA") == F.col("tA")) & (F.col("chrB") == F.col("tB")) & (F.col("event_type") == F.col("tT"))).drop("tA", "tB", "tT")
-    pairs = call_matches(query, ranked, ["occ", "frq", "db_ord", "type_ord"], overlap, bnd_distance, ins_distance, no_var)
-    a, b, c, d = _cols()
-    far = (F.col("chrA") != F.col("chrB")) | F.contains(F.col("event_type"), F.lit("INS"))
-    best = pairs.groupBy("qid").agg(F.max_by(F.struct("occ", "frq"), F.struct(similarity(far, a, b, c, d), -F.col("type_ord"), -F.col("db_ord"))).alias("best"))
-    return query.join(best.select("qid", "best.occ", "best.frq"), "qid", "left")
+    return best_match(query, ranked, Rule(overlap, bnd_distance, ins_distance, no_var), ["type_ord", "db_ord"], ["occ", "frq"])
 
 
 def tag_database(calls: DataFrame, in_occ: str, in_frq: str) -> DataFrame:
