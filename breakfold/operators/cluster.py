@@ -85,22 +85,51 @@ def _bounds(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
 
 
 def _star_fold(a: np.ndarray, b: np.ndarray, inter: bool, distance: float, overlap: float) -> list[tuple[int, np.ndarray]]:
-    """Centres and their closed neighbourhoods; rows come in posA order."""
-    n = len(a)
-    near = []
-    for i in range(n):
-        lo, hi = np.searchsorted(a, [a[i] - distance, a[i] + distance + 0.5])
-        j = np.arange(lo, hi)
-        j = j[np.abs(b[j] - b[i]) <= distance]
+    """Centres and their closed neighbourhoods; rows come in the order of posA and posB.
+
+    Equal positions are one spot.  Spots are counted by length if an overlap is asked for, else by posA, some thousand pairs at a time;
+    only a centre's neighbourhood is kept.
+    """
+    first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    ends = np.append(first[1:], len(a))
+    sa, sb, weight = a[first], b[first], ends - first
+    by_length = not inter and overlap > 0 and bool((sb >= sa).all())
+    key = (sb - sa + 1) if by_length else sa
+    order = np.argsort(key, kind="stable")
+    key, ka, kb, kw = key[order], sa[order], sb[order], weight[order]
+
+    def window(low, high):
+        # An overlap of this much needs lengths that differ by no more than this factor; one more on each side is for rounding.
+        bounds = (low * overlap - 1, high / overlap + 1) if by_length else (low - distance, high + distance)
+        return np.searchsorted(key, bounds[0], side="left"), np.searchsorted(key, bounds[1], side="right")
+
+    def linked(xa, xb, lo, hi):
+        ya, yb = ka[lo:hi], kb[lo:hi]
+        ok = (np.abs(ya - xa) <= distance) & (np.abs(yb - xb) <= distance)
         if not inter:
-            ratio = (np.minimum(b[j], b[i]) - np.maximum(a[j], a[i]) + 1) / (np.maximum(b[j], b[i]) - np.minimum(a[j], a[i]) + 1)
-            j = j[ratio >= overlap]
-        near.append(j)
-    taken, out = np.zeros(n, bool), []
-    for i in sorted(range(n), key=lambda i: -len(near[i])):
-        if not taken[i]:
-            taken[near[i]] = True
-            out.append((i, near[i]))
+            ok &= (np.minimum(yb, xb) - np.maximum(ya, xa) + 1) / (np.maximum(yb, xb) - np.minimum(ya, xa) + 1) >= overlap
+        return ok
+
+    size = np.zeros(len(first), np.int64)
+    at = 0
+    while at < len(key):
+        upto = min(len(key), at + 64)
+        lo, hi = window(key[at], key[upto - 1])
+        step = max(1, min(upto - at, (1 << 20) // max(1, hi - lo)))
+        upto = at + step
+        size[order[at:upto]] = linked(ka[at:upto, None], kb[at:upto, None], lo, hi) @ kw[lo:hi]
+        at = upto
+    place = np.empty(len(first), np.int64)
+    place[order] = np.arange(len(first))
+    taken, out = np.zeros(len(first), bool), []
+    for s in np.argsort(-size, kind="stable"):
+        if not taken[s]:
+            k = place[s]
+            lo, hi = window(key[k], key[k])
+            near = np.sort(order[lo:hi][linked(ka[k], kb[k], lo, hi)])
+            taken[near] = True
+            taken[s] = True
+            out.append((int(first[s]), np.concatenate([np.arange(first[j], ends[j]) for j in near]) if len(near) else near))
     return out
 
 
@@ -121,8 +150,9 @@ def star_cover(df: DataFrame, distance: Column, overlap: Column, part: list[str]
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             stars = [(0, [0])] if hi - lo == 1 else _star_fold(a[lo:hi], b[lo:hi], inter[lo], far[lo], need[lo])
             for c, near in stars:
-                rows += [lo + j for j in near]
-                centres += [ids[lo + c]] * len(near)
+                rows.append(lo + np.asarray(near, np.int64))
+                centres.append(np.full(len(near), ids[lo + c]))
+        rows, centres = np.concatenate(rows), np.concatenate(centres)
         out = pdf.iloc[rows][[*part, "idx", "posA", "posB", "sample"]].copy()
         out["center_idx"] = centres
         out["is_center"] = out.center_idx == out.idx

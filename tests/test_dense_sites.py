@@ -1,11 +1,13 @@
 """Sites full of calls: the same results as comparing all pairs, by plans that don't compare them."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from breakfold.operators import annotate
+from breakfold.operators import annotate, cluster
 
 COLS = "qid long, chrA string, chrB string, posA long, posB long, event_type string, sample string"
 
@@ -73,3 +75,28 @@ def plan(df):
 def test_best_does_not_sort_pairs(spark):
     q, d = spark.createDataFrame(dense(5, 5), COLS), spark.createDataFrame(dense(5, 6), COLS).withColumns({"db_ord": F.col("qid"), "occ": F.lit(1), "frq": F.lit(0.5)})
     assert "max_by" not in plan(annotate.annotate_best(q, d))
+
+
+def test_stars_of_copies_stay_small():
+    a = np.repeat(np.array([100, 130, 900]), 6000)
+    tracemalloc.start()
+    stars = cluster._star_fold(a, a + 500, False, 2500.0, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(c, len(near)) for c, near in stars] == [(0, 12000), (12000, 6000)]
+    assert peak < 50e6
+
+
+def test_stars_are_the_scan():
+    r = random.Random(3)
+    rows = sorted((p, p + r.choice([300, 500, 900]) + r.randrange(40)) for p in (r.randrange(300) // 3 * 3 for _ in range(400)))
+    a, b = np.array(rows).T
+    for inter, overlap in ((False, 0.8), (True, 0.8), (False, -1.0)):
+        ratio = (np.minimum(b[:, None], b) - np.maximum(a[:, None], a) + 1) / (np.maximum(b[:, None], b) - np.minimum(a[:, None], a) + 1)
+        near = (np.abs(a[:, None] - a) <= 150) & (np.abs(b[:, None] - b) <= 150) & (inter | (ratio >= overlap))
+        taken, want = set(), []
+        for i in sorted(range(len(a)), key=lambda i: -near[i].sum()):
+            if i not in taken:
+                taken |= set(np.flatnonzero(near[i]))
+                want.append((i, np.flatnonzero(near[i]).tolist()))
+        assert [(c, list(n)) for c, n in cluster._star_fold(a, b, inter, 150.0, overlap)] == want
