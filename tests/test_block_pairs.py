@@ -33,7 +33,7 @@ def test_block_pairs_are_the_scan(spark, monkeypatch, distance, size, by_length)
     assert set(want) & must <= set(got)
 
 
-@pytest.mark.parametrize(("name", "most"), [("overlap_ratio", 7.5)])
+@pytest.mark.parametrize(("name", "most"), [("box_candidates", 1.0), ("overlap_ratio", 7.5)])
 def test_files_of_a_dense_site_are_small(spark, tmp_path, name, most):
     rows, c = [], 0
     for i in range(1800):
