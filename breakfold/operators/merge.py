@@ -14,18 +14,30 @@ ONE_SOURCE = ("SVLEN", "END", "SVTYPE")
 
 def merge_edges(calls: DataFrame, overlap: float = 0.95, bnd_distance: int = 2000, ins_distance: int = 50) -> DataFrame:
     """(a, b, ra, rb): ids and ranks of matching calls of one type, a before b in (posA, source_ord, line_no) order."""
-    from breakfold.functions.overlap import matches, within_box
-    from breakfold.operators.bandjoin import band_join
-
-    order = F.struct("posA", "source_ord", "line_no")
-    left = calls.select("chrA", "chrB", "event_type", "posA", "posB", F.col("call_id").alias("a"), order.alias("ra"))
-    right = calls.select("chrA", "chrB", "event_type", F.col("posA").alias("dA"), F.col("posB").alias("dB"), F.col("call_id").alias("b"), order.alias("rb"))
-    q = [F.col(c) for c in ("posA", "posB", "dA", "dB")]
-    ins = F.contains(F.col("event_type"), F.lit("INS"))
-    inter = F.col("chrA") != F.col("chrB")
-    near = inter | (F.col("dA") - F.col("posA") <= bnd_distance)
-    hit = near & F.when(ins, F.when(inter, within_box(*q, ins_distance)).otherwise(matches(inter, *q, -1.0, ins_distance))).otherwise(matches(inter, *q, overlap, bnd_distance))
-    return band_join(left, right, ["chrA", "chrB", "event_type"], "posA", "dA", max(bnd_distance, ins_distance), "inner", hit & (F.col("ra") < F.col("rb")), "posB", "dB").select("a", "b", "ra", "rb")
+    from breakfold.functions.overlap import overlap_ratio
+    from breakfold.operators.blockpairs import block_pairs
+
+    length = F.col("posB") - F.col("posA")
+    rows = calls.select("chrA", "chrB", "event_type", (F.col("chrA") != F.col("chrB")).alias("inter"), F.contains(F.col("event_type"), F.lit("INS")).alias("ins"), "posA", "posB", "source_ord", "line_no", "call_id")
+
+    def hit(a: dict, b: dict) -> Column:
+        q = (a["posA"], a["posB"], b["posA"], b["posB"])
+        inter, ins = a["inter"], a["ins"]
+        far_a = F.when(ins, F.when(inter, ins_distance).otherwise(min(ins_distance, bnd_distance))).otherwise(bnd_distance)
+        far_b = F.when(ins, ins_distance).otherwise(bnd_distance)
+        return (b["posA"] - a["posA"] <= far_a) & (F.abs(a["posB"] - b["posB"]) <= far_b) & (inter | F.coalesce(overlap_ratio(*q) >= F.when(ins, -1.0).otherwise(overlap), F.lit(False)))
+
+    def could(a, b) -> Column:
+        """A ratio is at most that of the shorter interval to the longer; the rest is for rounding."""
+        shorter, longer = F.least(a("high", "length"), b("high", "length")) + 1, F.greatest(a("low", "length"), b("low", "length")) + 1
+        return F.col("l_k_3") | F.col("l_k_4") | (shorter >= longer * (overlap - 1e-9))
+
+    pairs = block_pairs(
+        rows, ["chrA", "chrB", "event_type", "inter", "ins"], "posA", "posB", ["posA", "source_ord", "line_no"], max(bnd_distance, ins_distance), hit,
+        blocks_by=[length, "posA"], within=[length, "posA"], could=could if overlap > 0 else None, carry=["call_id"], size=256,
+    )
+    rank = lambda s: F.struct(*[F.col(f"{s}_{c}").alias(c) for c in ("posA", "source_ord", "line_no")])
+    return pairs.select(F.col("l_call_id").alias("a"), F.col("r_call_id").alias("b"), rank("l").alias("ra"), rank("r").alias("rb"))
 
 
 def clusters(calls: DataFrame, assigned: DataFrame) -> DataFrame:

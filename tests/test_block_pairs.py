@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from breakfold.operators import blockpairs
+from breakfold.operators import blockpairs, merge
 from breakfold.plans import registry
 
 COLS = "key string, posA long, posB long, n long, id long"
@@ -46,3 +46,26 @@ def test_files_of_a_dense_site_are_small(spark, tmp_path, name, most):
     pairs = spark.read.parquet(f"{tmp_path}/out").count()
     assert pairs == 1800 * 1799 // 2
     assert sum(f.stat().st_size for f in Path(tmp_path, "out").glob("*.parquet")) / pairs < most
+
+
+def test_edges_of_a_dense_site_are_compiled_and_pruned(spark):
+    """The loop over pairs must be small enough for the JVM to compile (8,000 bytes a method), and blocks whose lengths are too far apart don't meet."""
+    r = random.Random(4)
+    rows = [(i, "1", "1", "DEL", a := r.randrange(300), a + r.choice([500, 3000, 9000]) + r.randrange(40), i % 3, i) for i in range(1500)]
+    edges = merge.merge_edges(spark.createDataFrame(rows, "call_id long, chrA string, chrB string, event_type string, posA long, posB long, source_ord int, line_no long"))
+    want = set()
+    for a in rows:
+        for b in rows:
+            if (a[4], a[6], a[7]) < (b[4], b[6], b[7]) and max(b[4] - a[4], abs(b[5] - a[5])) <= 2000 and (min(a[5], b[5]) - b[4] + 1) / (max(a[5], b[5]) - a[4] + 1) >= 0.95:
+                want.add((a[0], b[0]))
+    got = [(x.a, x.b) for x in edges.select("a", "b").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert "least(l_high_length" in edges._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = edges.select("a", "b")._jdf.queryExecution().executedPlan()
+        code = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package").codegenStringSeq(plan).iterator()
+        loops = [s._3().maxMethodCodeSize() for s in iter(lambda: code.next() if code.hasNext() else None, None) if "SortMergeJoin" in s._1()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert loops and max(loops) < 8000
