@@ -48,6 +48,37 @@ def test_files_of_a_dense_site_are_small(spark, tmp_path, name, most):
     assert sum(f.stat().st_size for f in Path(tmp_path, "out").glob("*.parquet")) / pairs < most
 
 
+def test_files_of_a_dense_site_hold_runs_of_whole_blocks(spark, tmp_path):
+    """Runs of a multiple of eight repeat byte for byte in Parquet, and a short block is cheap to begin a page with: less than 0.3 bytes a pair where blocks of 1,024 took more."""
+    rows, c = [], 0
+    for i in range(1801):
+        c += 1
+        while (c * 31 + 200 * i * 7) % 22:
+            c += 1
+        rows.append((200 * i, c, "F"))
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string").repartition(4).write.parquet(f"{tmp_path}/orders.parquet")
+    registry.QUERIES["box_candidates"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    pairs = spark.read.parquet(f"{tmp_path}/out")
+    assert pairs.count() == pairs.distinct().count() == 1801 * 1800 // 2
+    assert sum(f.stat().st_size for f in Path(tmp_path, "out").glob("*.parquet")) / pairs.count() < 0.3
+
+
+def test_sides_share_a_shuffle_and_many_rows_get_more_tasks(spark, monkeypatch):
+    rows = spark.range(500).selectExpr("'a' key", "id posA", "id posB", "id")
+    plan = lambda **more: blockpairs.block_pairs(rows, ["key"], "posA", "posB", ["id"], 5, lambda a, b: F.lit(True), **more)
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    df = plan()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert "ReusedExchange" in text(plan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert ", 16), REPARTITION_BY_NUM" in text(df)
+    monkeypatch.setattr(blockpairs, "TASK_ROWS", 10)
+    assert ", 50), REPARTITION_BY_NUM" in text(plan(count=500))
+    assert plan(count=500).count() == sum(min(5, 499 - i) for i in range(500))
+
+
 def test_edges_of_a_dense_site_are_compiled_and_pruned(spark):
     """The loop over pairs must be small enough for the JVM to compile (8,000 bytes a method), and blocks whose lengths are too far apart don't meet."""
     r = random.Random(4)
