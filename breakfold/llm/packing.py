@@ -191,7 +191,7 @@ def added_tokens(tokenizer_file: bytes) -> dict[str, int]:
     return {t["content"]: t["id"] for t in json.loads(tokenizer_file).get("added_tokens", [])}
 
 
-def token_encoder(ranks_file: bytes, pattern: str, added: dict[str, int]):
+def token_encoder(ranks_file: bytes, pattern: str, added: dict[str, int] | None = None):
     """Ids of a text by the byte-level vocabulary given as ranks; strings of ``added`` in it are tokens of their own.
 
     The ids are those of the ``tokenizers`` library with the same vocabulary (tests hold them against
@@ -199,7 +199,7 @@ def token_encoder(ranks_file: bytes, pattern: str, added: dict[str, int]):
     """
     import tiktoken
 
-    enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(ranks_file), special_tokens=added)
+    enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(ranks_file), special_tokens=added or {})
     return lambda text: enc.encode(text, allowed_special="all", disallowed_special=())
 
 
