@@ -35,14 +35,14 @@ TYPES = {
 
 def json_string(c: Column) -> Column:
     """A JSON string: quotes, backslashes and control characters escaped, all else as it is."""
-    c = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    for raw, name in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+    odd = c.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
+    for raw, name in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         c = F.replace(c, F.lit(raw), F.lit(name))
     rare = F.replace(F.replace(c, F.lit("\b"), F.lit("\\b")), F.lit("\f"), F.lit("\\f"))
     for code in [*range(0, 8), 11, *range(14, 32)]:
         rare = F.replace(rare, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
     # Few texts hold any of the others, and looking once is cheaper than replacing each.
-    return F.concat(F.lit('"'), F.when(c.rlike(r"[\x00-\x1f]"), rare).otherwise(c), F.lit('"'))
+    return F.concat(F.lit('"'), F.when(odd, rare).otherwise(c), F.lit('"'))
 
 
 def _plain_json(value) -> str:
@@ -126,17 +126,17 @@ def format_chat(
     m = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     m = m.withColumn("v", F.when(F.ltrim("text").startswith("{"), F.try_parse_json("text")))
     scalar = lambda at: F.when(F.schema_of_variant(F.try_variant_get("v", at, "variant")).rlike("^(STRING|BIGINT|DECIMAL)"), F.try_variant_get("v", at, "string"))
-    m = m.withColumns({"id": scalar("$.tool_call_id"), "name": scalar("$.name")})
+    # A generator stands between the reading of a text and its uses: filters by kind would else be moved below and read it again.
+    read = F.struct("v", scalar("$.tool_call_id").alias("id"), scalar("$.name").alias("name"))
+    m = m.select("conv_id", "turn", "role", "text", F.explode(F.array(read)).alias("read")).select("conv_id", "turn", "role", "text", "read.*")
     kind = F.when(F.col("id").isNull(), "text").when(F.col("role") == "tool", "result").when(F.col("name").isNotNull(), "call").otherwise("text")
     m = m.withColumn("kind", kind).withColumn("id", F.when(F.col("kind") != "text", F.col("id")))
     result, call = F.col("kind") == "result", F.col("kind") == "call"
     m = m.withColumn("v", F.when(call, F.coalesce(F.try_variant_get("v", "$.arguments", "variant"), F.parse_json(F.lit("{}")))))
-    s = json_string
-    body = (
-        F.when(call, F.concat(F.lit('{"arguments":'), F.to_json("v"), F.lit(',"name":'), s(F.col("name")), F.lit(',"role":'), s(F.col("role")), F.lit(',"tool_call_id":'), s(F.col("id")), F.lit("}")))
-        .when(result, F.concat(F.lit('{"content":'), s(F.col("text")), F.lit(',"role":'), s(F.col("role")), F.lit(',"tool_call_id":'), s(F.col("id")), F.lit("}")))
-        .otherwise(F.concat(F.lit('{"content":'), s(F.col("text")), F.lit(',"role":'), s(F.col("role")), F.lit("}")))
-    )
+    # One expression escapes the strings of a row: plans hold it once for every branch below, and the driver holds the plans.
+    m = m.withColumn("s", F.transform(F.array(F.when(call, F.col("name")).otherwise(F.col("text")), "role", "id"), json_string))
+    head = F.when(call, F.concat(F.lit('{"arguments":'), F.to_json("v"), F.lit(',"name":'))).otherwise(F.lit('{"content":'))
+    body = F.concat(head, F.col("s")[0], F.lit(',"role":'), F.col("s")[1], F.coalesce(F.concat(F.lit(',"tool_call_id":'), F.col("s")[2]), F.lit("")), F.lit("}"))
     broken = F.when(call, argument_errors(F.col("v"), F.col("name"), schemas or {})).otherwise(_none())
     m = m.select("conv_id", "turn", "role", "kind", "id", broken.alias("broken"), body.alias("message"), F.pmod(F.xxhash64("turn", "kind"), F.lit(salts)).cast("int").alias("salt"))
     # Only calls and results go through the join; a message of plain text has nothing to link.
@@ -150,12 +150,16 @@ def format_chat(
     m = linked.select(*rest.columns).unionByName(rest)
     follows = result & F.col("call_turn").isNotNull()
     m = m.withColumns({"order_turn": F.when(follows, F.col("call_turn")).otherwise(F.col("turn")), "order_rank": F.when(follows, 1).otherwise(0)})
+    # Keys without nulls, and a column that tells nulls: the join meets the rows as the window has dealt them.
     m = m.withColumn("span", F.floor(F.col("order_turn") / span))
-    own = Window.partitionBy("conv_id", "span").orderBy("order_turn", "order_rank", "turn", "message")
-    sizes = m.groupBy("conv_id", "span").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
-    bases = sizes.select(F.col("conv_id").alias("c"), F.col("span").alias("p"), F.coalesce(before, F.lit(0)).alias("base"))
-    m = m.withColumn("n", F.row_number().over(own)).join(bases.hint("merge"), F.col("conv_id").eqNullSafe(F.col("c")) & F.col("span").eqNullSafe(F.col("p")))
+    m = m.withColumns({"c": F.coalesce("conv_id", F.lit(0)), "p": F.coalesce("span", F.lit(0)), "nulls": F.col("conv_id").isNull().cast("int") * 2 + F.col("span").isNull().cast("int")})
+    part = ["c", "p", "nulls"]
+    own = Window.partitionBy(*part).orderBy("order_turn", "order_rank", "turn", "message")
+    sizes = m.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
+    # A conversation's part without turns comes first, as nulls do.
+    before = F.sum("n").over(Window.partitionBy("c", F.col("nulls") >= 2).orderBy(F.desc("nulls"), "p").rowsBetween(Window.unboundedPreceding, -1))
+    bases = sizes.select(*part, F.coalesce(before, F.lit(0)).alias("base"))
+    m = m.withColumn("n", F.row_number().over(own)).join(bases.hint("merge"), part)
     errors = F.when(call, F.col("broken")).when(result & F.col("call_turn").isNull(), F.array(F.lit("no call"))).otherwise(_none())
     return m.select(
         "conv_id",

@@ -32,14 +32,17 @@ def with_calls(conversations: DataFrame) -> DataFrame:
     The conversations hold no tool calls, so these are derived: a user's turn searches for itself by place and length, and the
     search of the turn before has found an assistant's turn, by its text's digest.  Results stand before their calls.
     """
-    c = conversations.select("conv_id", (F.col("turn") * 4).cast("long").alias("turn"), "role", "text", F.col("turn").alias("t"))
+    t, at = F.col("turn"), (F.col("turn") * 4).cast("long")
     name = lambda t: F.concat(F.lit("c"), t.cast("string"))
+    row = lambda turn, role, text: F.struct(turn.alias("turn"), role.alias("role"), text.alias("text"))
     words = F.coalesce("text", F.lit(""))
-    query = F.concat(F.lit('turn "'), F.col("t").cast("string"), F.lit('" of '), F.col("conv_id").cast("string"), F.lit(": "), F.length(words).cast("string"))
-    wanted = F.struct(query.alias("query"), F.col("t").alias("limit"), F.struct((F.col("t") > 0).alias("strict"), F.array(F.lit("title"), F.lit("text")).alias("fields")).alias("filter"))
-    calls = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit("assistant").alias("role"), F.to_json(F.struct(name(F.col("t")).alias("tool_call_id"), F.lit("search").alias("name"), wanted.alias("arguments"))).alias("text"))
-    results = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 4).alias("turn"), F.lit("tool").alias("role"), F.to_json(F.struct(name(F.col("t") - 1).alias("tool_call_id"), F.md5(words).alias("content"))).alias("text"))
-    return c.drop("t").unionByName(calls).unionByName(results)
+    query = F.concat(F.lit('turn "'), t.cast("string"), F.lit('" of '), F.col("conv_id").cast("string"), F.lit(": "), F.length(words).cast("string"))
+    wanted = F.struct(query.alias("query"), t.alias("limit"), F.struct((t > 0).alias("strict"), F.array(F.lit("title"), F.lit("text")).alias("fields")).alias("filter"))
+    call = row(at + 1, F.lit("assistant"), F.to_json(F.struct(name(t).alias("tool_call_id"), F.lit("search").alias("name"), wanted.alias("arguments"))))
+    result = row(at - 4, F.lit("tool"), F.to_json(F.struct(name(t - 1).alias("tool_call_id"), F.md5(words).alias("content"))))
+    # One reading of the table gives all three kinds.
+    rows = F.array(row(at, F.col("role"), F.col("text")), F.when(F.col("role") == "user", call).when(F.col("role") == "assistant", result))
+    return conversations.select("conv_id", F.explode(rows).alias("row")).where("row is not null").select("conv_id", "row.*")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
