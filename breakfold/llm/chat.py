@@ -3,7 +3,7 @@
 Messages are rows (conversation, turn, role, text).  A call is a message whose text is a JSON object
 with ``tool_call_id`` and ``name`` (and ``arguments``); a result is one of role ``tool`` whose text is
 a JSON object with ``tool_call_id``.  Calls and results meet in a hash join by (conversation, identifier); an identifier
-with many rows is dealt over salts, which are merged first.
+with rows in many spans of turns is dealt over salts, which are merged first.  Linked rows are written while the plan is built.
 
 The canonical order is topological: every message after those it depends on, which are the call of a
 result and the messages of earlier turns.  Results that come before their call are moved right
@@ -21,6 +21,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: JSON schema types and what the type of a value looks like.
 TYPES = {
     "string": "^STRING$",
@@ -137,41 +139,44 @@ def format_chat(
     m = m.withColumn("s", F.transform(F.array(F.when(call, F.col("name")).otherwise(F.col("text")), "role", "id"), json_string))
     head = F.when(call, F.concat(F.lit('{"arguments":'), F.to_json("v"), F.lit(',"name":'))).otherwise(F.lit('{"content":'))
     body = F.concat(head, F.col("s")[0], F.lit(',"role":'), F.col("s")[1], F.coalesce(F.concat(F.lit(',"tool_call_id":'), F.col("s")[2]), F.lit("")), F.lit("}"))
-    broken = F.when(call, argument_errors(F.col("v"), F.col("name"), schemas or {})).otherwise(_none())
-    m = m.select("conv_id", "turn", "role", "kind", "id", broken.alias("broken"), body.alias("message"), F.pmod(F.xxhash64("turn", "kind"), F.lit(salts)).cast("int").alias("salt"))
+    broken = F.when(call, F.array_join(argument_errors(F.col("v"), F.col("name"), schemas or {}), "; "))
+    # An identifier is dealt by spans of turns, so a call and a result near it are one row of links.
+    m = m.select("conv_id", "turn", "role", "kind", "id", broken.alias("errors"), body.alias("message"), F.pmod(F.floor(F.col("turn") / span), F.lit(salts)).cast("int").alias("salt"))
     # Only calls and results go through the join; a message of plain text has nothing to link.
     key = ["conv_id", "id"]
     can = m.where("kind <> 'text' and conv_id is not null and turn is not null")
     parts = can.groupBy(*key, "salt").agg(F.min(F.when(call, F.col("turn"))).alias("call_turn"), F.count(F.when(result, 1)).alias("n_results"))
     whole = parts.groupBy(*key).agg(F.min("call_turn").alias("call_turn"), F.sum("n_results").alias("n_results"), F.expr("bit_or(shiftleft(1L, salt))").alias("present"))
     spread = whole.withColumn("salt", F.explode(F.expr(f"filter(sequence(0, {salts - 1}), b -> (shiftright(present, b) & 1) = 1)"))).drop("present")
-    linked = can.join(spread.hint("shuffle_hash"), [*key, "salt"])
-    rest = m.where("kind = 'text' or conv_id is null or turn is null").withColumns({"call_turn": F.lit(None).cast("long"), "n_results": F.lit(0).cast("long")})
+    # Written, so that sizes and messages don't link twice and shuffles of this join can go before whole texts are dealt.
+    linked = cut(can.join(spread.hint("shuffle_hash"), [*key, "salt"]).drop("salt"))
+    rest = m.drop("salt").where("kind = 'text' or conv_id is null or turn is null").withColumns({"call_turn": F.lit(None).cast("long"), "n_results": F.lit(0).cast("long")})
     m = linked.select(*rest.columns).unionByName(rest)
     follows = result & F.col("call_turn").isNotNull()
-    m = m.withColumns({"order_turn": F.when(follows, F.col("call_turn")).otherwise(F.col("turn")), "order_rank": F.when(follows, 1).otherwise(0)})
+    m = m.withColumns({"order_turn": F.when(follows, F.col("call_turn")).otherwise(F.col("turn")), "order_rank": F.when(follows, 1).otherwise(0), "linked": follows | (call & (F.col("n_results") > 0)), "errors": F.when(result & ~follows, "no call").otherwise(F.col("errors"))})
     # Keys without nulls, and a column that tells nulls: the join meets the rows as the window has dealt them.
     m = m.withColumn("span", F.floor(F.col("order_turn") / span))
     m = m.withColumns({"c": F.coalesce("conv_id", F.lit(0)), "p": F.coalesce("span", F.lit(0)), "nulls": F.col("conv_id").isNull().cast("int") * 2 + F.col("span").isNull().cast("int")})
     part = ["c", "p", "nulls"]
+    m = m.select(*part, "turn", "role", "kind", "id", "errors", "message", "order_turn", "order_rank", "linked")
     own = Window.partitionBy(*part).orderBy("order_turn", "order_rank", "turn", "message")
     sizes = m.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
     # A conversation's part without turns comes first, as nulls do.
     before = F.sum("n").over(Window.partitionBy("c", F.col("nulls") >= 2).orderBy(F.desc("nulls"), "p").rowsBetween(Window.unboundedPreceding, -1))
     bases = sizes.select(*part, F.coalesce(before, F.lit(0)).alias("base"))
-    m = m.withColumn("n", F.row_number().over(own)).join(bases.hint("merge"), part)
-    errors = F.when(call, F.col("broken")).when(result & F.col("call_turn").isNull(), F.array(F.lit("no call"))).otherwise(_none())
+    m = m.withColumn("n", F.row_number().over(own)).join(bases.hint("shuffle_hash"), part)
+    errors = F.coalesce("errors", F.lit(""))
     return m.select(
-        "conv_id",
+        F.when(F.col("nulls") < 2, F.col("c")).alias("conv_id"),
         (F.col("base") + F.col("n") - 1).alias("position"),
         "turn",
         "role",
         "kind",
         F.col("id").alias("tool_call_id"),
-        F.coalesce(F.when(result, F.col("call_turn").isNotNull()).when(call, F.col("n_results") > 0), F.lit(False)).alias("linked"),
+        "linked",
         "order_turn",
         "order_rank",
-        (F.size(errors) == 0).alias("valid"),
-        F.array_join(errors, "; ").alias("errors"),
+        (errors == "").alias("valid"),
+        errors.alias("errors"),
         "message",
     )
